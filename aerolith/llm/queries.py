@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_frequency
+from . import common, decontaminate, line_frequency, sstable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +15,23 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = sstable.write(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), 0, common.new_path(spark, "sst"))
+    return sstable.read(manifest)
+
+
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.judge(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op9_line_frequency)}
+    return {f.__name__: f for f in (op1_decontaminate, op8_sorted_tables, op9_line_frequency)}
 
 
 def oracle_sql() -> dict[str, str]:
