@@ -205,7 +205,7 @@ def write(documents: DataFrame, tokenizer: str, end_id: int, folder: str, doc_id
     def run(batches):
         enc, out, writer = tokens.encoder(tokenizer), None, None
         end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in common.rows_of(batches, tokens.SHARD_BYTES):
             for k, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
                 if writer is None:
                     path, out = store.create(folder, ".sst")

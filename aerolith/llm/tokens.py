@@ -1,31 +1,56 @@
-"""Token ids of whole texts by a tokenizer file, each distinct word encoded once.
+"""Token ids of whole texts by a tokenizer file, each distinct part encoded once.
 
-Where the file's rules allow it, a text is cut at places that no token can cross, and the
-ids of the parts, kept in a bounded cache, are joined. Other files encode whole texts.
+Where the file's rules allow it, a shard's texts are cut at places that no token can cross:
+before a single space, around a single line feed, and between a letter and an ASCII mark.
+Parts are hashed with numpy; the tokenizer sees only parts that are not in the table of
+known ones yet, many joined in one text. Other files, and texts with white space other
+than ASCII's, are encoded whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
 
-#: Parts in each of the cache's two ages, and the longest part that is kept.
-CACHE_PARTS = 350_000
+from . import words
+
+#: Parts in the table before it is emptied, and the longest part that is kept (bytes).
+TABLE_PARTS = 3_000_000
+LONGEST_PART = 64
 #: New parts that are encoded as one text.
 JOINED_PARTS = 128
-LONGEST_PART = 64
-#: White space in Python that the tokenizers' patterns take as ordinary characters.
-_ODD = "\x1c\x1d\x1e\x1f\x85"
-#: White space besides the space and the line feed.
-_RARE = _ODD + "\t\x0b\x0c\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A space that stands alone between two visible characters.
-_ALONE = re.compile(r"(?<=\S) (?=\S)")
+#: Good sizes of the shards that encode() gets (bytes of text).
+SHARD_BYTES = 2 << 20
+#: White space outside ASCII.
+_RARE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _MARK = "\x01"
-#: Marks after a word of letters alone are tokens of their own.
-_TAIL = ".,;:!?()[]{}<>|/*#$%&+=~^\"-"
+_WHITE = ~words.NON_SPACE
+_PUNCT = np.zeros(256, bool)
+_PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: Second bytes, after 0xC3, of characters that are no letters.
+_NO_LETTER = (0x97, 0xB7)
+
+
+def cuts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where parts begin; each text's line feed at its end is a part of its own."""
+    white = _WHITE[data]
+    seen = ~white
+    before, after = np.append(False, seen[:-1]), np.append(seen[1:], False)
+    alone = white & before & after
+    feed = alone & (data == 0x0A)
+    out = feed | (alone & (data == 0x20))
+    out[1:] |= feed[:-1]
+    latin = np.zeros(len(data), bool)
+    latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & ~np.isin(data[1:], _NO_LETTER)
+    letter = _LETTER[data] | latin
+    out[1:] |= _PUNCT[data[1:]] & letter[:-1]
+    out[begins[:-1]] = True
+    out[begins[1:] - 1] = True
+    return np.flatnonzero(out)
 
 
 class Encoder:
@@ -40,94 +65,123 @@ class Encoder:
             rules = json.load(f)
         pre, normal = rules.get("pre_tokenizer") or {}, rules.get("normalizer") or {}
         steps = [x.get("type") for x in normal.get("normalizers", [])]
+        self.cut = None
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not normal:
-            self.cut, self.lead = "before space", " "
-            self.begins = np.zeros(self.vocab_size + 1, bool)
-            self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+            feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+            if len(feed) == 1:
+                self.cut, self.feed = "before space", feed[0]
+                self.begins = np.zeros(self.vocab_size + 1, bool)
+                self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         elif steps == ["NFC", "Replace", "Lowercase"] and pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed":
-            self.cut, self.lead = "space dropped", ""
             mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
-            self.mark = mark[0] if len(mark) == 1 else None
-        else:
-            self.cut = None
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _parts(self, text: str) -> list[str] | None:
-        """Parts whose ids, joined, are the text's; the first of "before space" is empty or
-        stands alone, each later one had a space before it."""
-        if self.cut is None or _MARK in text:
-            return None
-        if self.cut == "space dropped":
-            return None if any(c in text for c in _ODD) else text.split()
-        if any(c in text for c in _RARE) or "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
-            return _ALONE.split(text)
-        return text.split(" ")
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of new parts, many in one text; where parts begin shows in the ids."""
-        groups = [new[i : i + JOINED_PARTS] for i in range(0, len(new), JOINED_PARTS)]
-        if self.cut == "before space":
-            texts = [" " + " ".join(g) for g in groups]
-        elif self.mark is not None:
-            texts = [f" {_MARK} ".join([*g, ""]) for g in groups]
-        else:
-            texts, groups = [], [new]
-        odd = [] if texts else new
-        for g, raw in zip(groups, self._whole(texts), strict=False):
-            ids = np.frombuffer(raw, "<u4")
-            if self.cut == "before space":
-                at = np.flatnonzero(self.begins[ids]) * 4
-                ends = np.append(at[1:], len(raw))
-            else:
-                ends = np.flatnonzero(ids == self.mark) * 4
-                at = np.append(0, ends[:-1] + 4)
-            if len(at) == len(g):
-                self.known.update(zip(g, map(raw.__getitem__, map(slice, at.tolist(), ends.tolist())), strict=True))
-            else:
-                odd.extend(g)
-        self.known.update(zip(odd, self._whole([self.lead + x for x in odd]), strict=True))
+            if len(mark) == 1:
+                self.cut, self.mark = "space dropped", mark[0]
+        self._empty()
+
+    def _empty(self) -> None:
+        self.first, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, parts: list[str], join) -> list[np.ndarray]:
+        """Ids of parts, JOINED_PARTS in a text; join makes it and finds the bounds in its ids."""
+        groups = [parts[i : i + JOINED_PARTS] for i in range(0, len(parts), JOINED_PARTS)]
+        out = []
+        for g, ids in zip(groups, self._whole([join(g, None) for g in groups]), strict=True):
+            lo, hi = join(g, ids)
+            out += [ids[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)] if len(lo) == len(g) else self._whole(g)
+        return out
+
+    def _by_space(self, g: list[str], ids: np.ndarray | None):
+        if ids is None:
+            return "".join(g)
+        lo = np.flatnonzero(self.begins[ids])
+        return lo, np.append(lo[1:], len(ids))
+
+    def _by_feed(self, g: list[str], ids: np.ndarray | None):
+        if ids is None:
+            return "\n".join(g)
+        hi = np.append(np.flatnonzero(ids == self.feed), len(ids))
+        return np.append(0, hi[:-1] + 1), hi
+
+    def _by_mark(self, g: list[str], ids: np.ndarray | None):
+        if ids is None:
+            return f" {_MARK} ".join(g)
+        hi = np.append(np.flatnonzero(ids == self.mark), len(ids))
+        return np.append(0, hi[:-1] + 1), hi
+
+    def _new(self, parts: list[str]) -> list[np.ndarray]:
+        kind = np.zeros(len(parts), np.int8)
+        for i, x in enumerate(parts):
+            body = x[1:] if x[:1] == " " else x
+            if _MARK not in x and body and not any(c.isspace() for c in body):
+                kind[i] = 3 if self.cut == "space dropped" else 1 if body is not x else 2
+        out: list = [None] * len(parts)
+        for k, encode in enumerate((self._whole, lambda p: self._joined(p, self._by_space), lambda p: self._joined(p, self._by_feed), lambda p: self._joined(p, self._by_mark))):
+            own = np.flatnonzero(kind == k).tolist()
+            if own:
+                for i, ids in zip(own, encode([parts[i] for i in own]), strict=True):
+                    out[i] = ids
+        return out
+
+    def _keep(self, first: np.ndarray, second: np.ndarray, ids: list[np.ndarray]) -> None:
+        size = np.array([len(x) for x in ids], np.int64)
+        at = self.used + np.cumsum(size) - size
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        place = np.searchsorted(self.first, first)
+        self.first, self.second = np.insert(self.first, place, first), np.insert(self.second, place, second)
+        self.at, self.size = np.insert(self.at, place, at), np.insert(self.size, place, size)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers; null is empty."""
-        if len(self.known) > CACHE_PARTS:
-            self.older, self.known = self.known, {}
-        parts = [self._parts(t) if t else [] for t in texts]
-        heads: list[bytes] = [b""] * len(texts)
-        if self.cut == "before space":
-            which = [i for i, p in enumerate(parts) if p]
-            for i, ids in zip(which, self._whole([parts[i].pop(0) for i in which]), strict=True):
-                heads[i] = ids
-        wanted = set().union(*(p for p in parts if p)).difference(self.known)
-        again = wanted & self.older.keys()
-        self.known.update((x, self.older[x]) for x in again)
-        wanted -= again
-        long = [x for x in wanted if len(x) > LONGEST_PART or not x]
-        wanted.difference_update(long)
-        self.known.update(zip(long, self._whole([self.lead + x for x in long]), strict=True))
-        plain, built = set(), []
-        for x in wanted:
-            stem = x.rstrip(_TAIL)
-            if len(stem) < len(x) and stem.isalpha():
-                built.append((x, stem, x[len(stem) :]))
-                plain.add(stem)
-            else:
-                plain.add(x)
-        self._learn(list(plain.difference(self.known)))
-        new = list({t for _, _, t in built}.difference(self.tails))
-        self.tails.update(zip(new, self._whole(new), strict=True))
-        self.known.update((x, self.known[stem] + self.tails[t]) for x, stem, t in built)
-        if len(self.tails) > CACHE_PARTS:
-            self.tails.clear()
-        get = self.known.__getitem__
-        out = [self._whole([t])[0] if p is None else h + b"".join(map(get, p)) for t, p, h in zip(texts, parts, heads, strict=True)]
-        for x in long:
-            del self.known[x]
-        return out
+        whole = {i for i, t in enumerate(texts) if t and (self.cut is None or not t.isascii() and any(c in t for c in _RARE))}
+        apart = dict(zip(sorted(whole), self._whole([texts[i] for i in sorted(whole)]), strict=True))
+        data, begins = words.joined(["" if i in whole else t for i, t in enumerate(texts)])
+        start = cuts(data, begins)
+        end = np.append(start[1:], len(data))
+        real = np.ones(len(start), bool)
+        real[np.searchsorted(start, begins[1:] - 1)] = False
+        start, end = start[real], end[real]
+        bound = np.searchsorted(start, begins)
+        if len(self.first) > TABLE_PARTS:
+            self._empty()
+        h = words.hashes(data, start, end, words.TABLE)
+        unique, sample, back = np.unique(h, return_index=True, return_inverse=True)
+        by = np.argsort(sample)
+        second = np.empty(len(unique), np.uint64)
+        second[by] = words.hashes(data, start[sample[by]], end[sample[by]], words.SECOND)
+        place = np.minimum(np.searchsorted(self.first, unique), max(len(self.first) - 1, 0))
+        known = (self.first[place] == unique) & (self.second[place] == second) if len(self.first) else np.zeros(len(unique), bool)
+        new = np.flatnonzero(~known)
+        taken = (self.first[place[new]] == unique[new]) if len(self.first) else np.zeros(len(new), bool)
+        raw = data.tobytes()
+        ids = self._new([raw[a:b].decode() for a, b in zip(start[sample[new]].tolist(), end[sample[new]].tolist(), strict=True)])
+        short = (end - start)[sample[new]] <= LONGEST_PART
+        stay = np.flatnonzero(short & ~taken)
+        self._keep(unique[new[stay]], second[new[stay]], [ids[i] for i in stay.tolist()])
+        # this shard's own table: kept parts by place, the others behind the kept ids
+        place = np.minimum(np.searchsorted(self.first, unique), max(len(self.first) - 1, 0))
+        at, size = (self.at[place], self.size[place]) if len(self.first) else (np.zeros(len(unique), np.int64),) * 2
+        pool = self.ids
+        rest = np.flatnonzero(~short | taken).tolist()
+        if rest:
+            at, size = at.copy(), size.copy()
+            extra = [ids[i] for i in rest]
+            size[new[rest]] = [len(x) for x in extra]
+            at[new[rest]] = self.used + np.cumsum([0, *map(len, extra)])[:-1]
+            pool = np.concatenate([self.ids[: self.used], *extra])
+        n = size[back]
+        ends = np.cumsum(n)
+        flat = pool[np.repeat(at[back] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        edge = (4 * np.append(0, ends)[bound]).tolist()
+        return [apart[i].tobytes() if i in apart else flat[edge[i] : edge[i + 1]] for i in range(len(texts))]
 
 
 _encoders: dict[str, Encoder] = {}

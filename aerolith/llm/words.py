@@ -20,6 +20,8 @@ NON_SPACE[0x20] = NON_SPACE[0x09:0x0E] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 _LOWER_TABLE = TABLE[LOWER]
+#: A second hash, to tell words apart whose first agree.
+SECOND = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -57,8 +59,8 @@ def spans(data: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the lower-cased words; equal words have equal hashes."""
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = _LOWER_TABLE) -> np.ndarray:
+    """64-bit hashes of the words, lower-cased by default; equal words have equal hashes."""
     out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):
@@ -66,7 +68,7 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         lo, hi = int(start[i]), int(end[j - 1])
         p, inv = _pow(max(hi - lo, CHUNK) + 1)
         total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_LOWER_TABLE[data[lo:hi]] * p[: hi - lo], out=total[1:])
+        np.cumsum(table[data[lo:hi]] * p[: hi - lo], out=total[1:])
         s = start[i:j] - lo
         out[i:j] = (total[end[i:j] - lo] - total[s]) * inv[s]
         i = j
