@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, line_frequency, sstable
+from . import common, decontaminate, line_frequency, packing, sstable, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(_table(spark, sf_dir, "pages"), common.new_path(spark, "warc")))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.run(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 1)
+
+
 def op8_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sstable.write(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), 0, common.new_path(spark, "sst"))
     return sstable.read(manifest)
@@ -31,8 +39,8 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op8_sorted_tables, op9_line_frequency)}
+    return {f.__name__: f for f in (op1_decontaminate, op4_warc_segments, op6_packing, op8_sorted_tables, op9_line_frequency)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op9_line_frequency": line_frequency.ORACLE_SQL}
+    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op4_warc_segments": warc.ORACLE_SQL, "op9_line_frequency": line_frequency.ORACLE_SQL}
