@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, line_frequency, packing, sstable, warc
+from . import common, decontaminate, line_frequency, packing, sstable, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.learned(documents, _table(spark, sf_dir, "labels")))
+
+
 def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(_table(spark, sf_dir, "pages"), common.new_path(spark, "warc")))
 
@@ -39,7 +44,7 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op4_warc_segments, op6_packing, op8_sorted_tables, op9_line_frequency)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op4_warc_segments, op6_packing, op8_sorted_tables, op9_line_frequency)}
 
 
 def oracle_sql() -> dict[str, str]:
