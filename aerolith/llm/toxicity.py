@@ -19,7 +19,7 @@ one class every score is the share of toxic rows (0 without any).
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 from . import common, words
 
 #: Labelled rows to learn from, per class: those with the smallest hash of their id.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 2500
 WINDOW_BYTES = 48
+#: Ordinary windows that the dictionary is trained on, evenly spaced in the sample.
+TRAIN_WINDOWS = 50_000
 ORDINARY_BYTES, TOXIC_BYTES = 24 << 10, 4 << 10
 #: A word is toxic text's own above this log-odds ratio and from so many contexts on; its
 #: beginnings count from PREFIX bytes on.
@@ -154,26 +156,46 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     return w
 
 
-def _contexts(texts: list[bytes]) -> dict[bytes, set]:
-    """Of each word, and each beginning of PREFIX bytes or more, the distinct neighbours it
-    stands between. Copies of a text add nothing to a set."""
+def _beginnings(w: bytes):
+    """A word, closed by a space, and its beginnings from PREFIX bytes to 7."""
+    yield w + b" "
+    for n in range(PREFIX, min(len(w), 8)):
+        yield w[:n]
+
+
+def _in_texts(texts: list[bytes]) -> Counter:
+    """In how many texts each word and beginning of a word is."""
+    out: Counter = Counter()
+    for t in texts:
+        out.update({x for w in set(_WORD.findall(t)) for x in _beginnings(w)})
+    return out
+
+
+def _contexts(texts: list[bytes], wanted: set[bytes]) -> dict[bytes, set]:
+    """The distinct neighbours that each wanted one stands between. Copies of a text add
+    nothing to a set."""
     out: dict[bytes, set] = defaultdict(set)
     for t in texts:
         found = _WORD.findall(t)
         for before, w, after in zip([b"", *found[:-1]], found, [*found[1:], b""], strict=True):
-            between = hash((before, after))
-            for n in range(PREFIX, min(len(w), 8)):
-                out[w[:n]].add(between)
-            out[w + b" "].add(between)
+            for x in _beginnings(w):
+                if x in wanted:
+                    out[x].add(hash((before, after)))
     return out
 
 
 def _own_words(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """Words (with a space) and beginnings of words that toxic texts hold far oftener, the
     strongest last; none that begins with another one."""
-    a, b = _contexts(toxic), _contexts(ordinary)
-    na, nb = sum(map(len, toxic)) + 1, sum(map(len, ordinary)) + 1
     least = max(MIN_CONTEXTS, len(toxic) // 25)
+    often = {w: n for w, n in _in_texts(toxic).items() if n >= MIN_CONTEXTS}
+    wanted: set[bytes] = set()
+    plain: Counter = Counter()
+    for t in ordinary:
+        plain.update({x for w in set(_WORD.findall(t)) for x in _beginnings(w) if x in often})
+    wanted = {w for w, n in often.items() if np.log((n + 0.5) / len(toxic)) - np.log((plain[w] + 0.5) / len(ordinary)) >= LOG_ODDS / 2}
+    a, b = _contexts(toxic, wanted), _contexts(ordinary, wanted)
+    na, nb = sum(map(len, toxic)) + 1, sum(map(len, ordinary)) + 1
     found = {}
     for w, places in a.items():
         n, m = len(places), len(b.get(w, ()))
@@ -193,9 +215,10 @@ def _around(text: bytes, own: re.Pattern | None) -> list[bytes]:
     return [text[max(0, m.start() - 1) : m.end() + 1] for m in own.finditer(text)] if own else []
 
 
-def train(texts: list[str | None], toxic: list[int]) -> Model:
+def train(texts: list[str | None], toxic: list[int], share: float | None = None) -> Model:
     """A model from a labelled sample: dictionaries from one half, thresholds from the other,
-    then dictionaries from all of it."""
+    then dictionaries from all of it. `share`: of toxic rows among all labelled ones, when
+    the sample has another one."""
     y = np.array(toxic, np.int64)
     if not len(y) or y.min() == y.max():
         return Model(prior=float(y.mean()) if len(y) else 0.0)
@@ -207,8 +230,8 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
         data, begins = words.joined([g.decode() for g in good])
         start, end, _ = windows(data, begins)
         whole = data.tobytes()
-        plain = [whole[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        plain = plain[:: max(1, len(plain) // 100_000)]
+        every = max(1, len(start) // TRAIN_WINDOWS)
+        plain = [whole[a:b] for a, b in zip(start[::every].tolist(), end[::every].tolist(), strict=True)]
         pattern = re.compile(b"|".join(rb"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])" + re.escape(w.rstrip()) for w in own)) if own else None
         samples = [s for t in bad for s in _around(t, pattern)]
         best = b" ".join(w.rstrip() for w in own)[-TOXIC_BYTES // 2 :]
@@ -225,6 +248,8 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
     x = np.concatenate([model.features([texts[i] for i in rows[k : k + 256]]) for k in range(0, len(rows), 256)])
     weights = _fit(x, y[rows]) if y[rows].min() != y[rows].max() else np.zeros(1)
     model = dictionaries(np.arange(len(y)))
+    if share and len(weights) > 1:  # the sample's share moves the odds, not their order
+        weights[-1] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     model.weights = weights
     return model
 
@@ -233,11 +258,15 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-def sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> pa.Table:
+def _known(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic (0 or 1) of the rows that may be learned from."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
+    return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+
+
+def sample(documents: DataFrame, known: DataFrame, rows: int = SAMPLE_ROWS) -> pa.Table:
     """text and toxic of the labelled rows to learn from; at most `rows` ids of each class
     come to the driver and are sent out, whatever the tables' size."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
     ids = chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("l_id"), "toxic")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -246,8 +275,10 @@ def sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
 
 
 def learned(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    got = sample(documents, labels, rows)
-    return train(got["text"].to_pylist(), got["toxic"].to_pylist())
+    known = _known(labels)
+    share = known.agg(F.avg("toxic").alias("share")).first().share
+    got = sample(documents, known, rows)
+    return train(got["text"].to_pylist(), got["toxic"].to_pylist(), share if share and share < 1 else None)
 
 
 def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
