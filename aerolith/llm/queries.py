@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, line_frequency, packing, sstable, toxicity, warc
+from . import common, decontaminate, line_dedup, line_frequency, packing, pseudonyms, sstable, toxicity, url_filter, warc
+
+
+#: For the queries; a user gives a secret of their own.
+PSEUDONYM_KEY = b"aerolith example key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +30,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.learned(documents, _table(spark, sf_dir, "labels")))
 
 
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(_table(spark, sf_dir, "pages"), common.new_path(spark, "warc")))
 
@@ -34,6 +42,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.run(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 1)
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op8_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sstable.write(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), 0, common.new_path(spark, "sst"))
     return sstable.read(manifest)
@@ -43,9 +55,13 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.judge(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op4_warc_segments, op6_packing, op8_sorted_tables, op9_line_frequency)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_pseudonyms, op4_warc_segments, op6_packing, op7_url_filter, op8_sorted_tables, op9_line_frequency, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op4_warc_segments": warc.ORACLE_SQL, "op9_line_frequency": line_frequency.ORACLE_SQL}
+    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op4_warc_segments": warc.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL, "op9_line_frequency": line_frequency.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
