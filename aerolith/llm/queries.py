@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, line_dedup, line_frequency, packing, pseudonyms, sstable, toxicity, url_filter, warc
+from . import common, decontaminate, line_dedup, line_frequency, near_dup, packing, pseudonyms, sstable, toxicity, url_filter, warc
 
 
 #: For the queries; a user gives a secret of their own.
@@ -38,6 +38,10 @@ def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(_table(spark, sf_dir, "pages"), common.new_path(spark, "warc")))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.clustered(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.run(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 1)
 
@@ -60,8 +64,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_pseudonyms, op4_warc_segments, op6_packing, op7_url_filter, op8_sorted_tables, op9_line_frequency, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_pseudonyms, op4_warc_segments, op5_near_duplicates, op6_packing, op7_url_filter, op8_sorted_tables, op9_line_frequency, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op4_warc_segments": warc.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL, "op9_line_frequency": line_frequency.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op4_warc_segments": warc.ORACLE_SQL, "op5_near_duplicates": near_dup.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL, "op9_line_frequency": line_frequency.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
