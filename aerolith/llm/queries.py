@@ -19,7 +19,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -43,7 +43,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.run(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 1)
+    return packing.run(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = sstable.write(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), 0, common.new_path(spark, "sst"))
+    manifest = sstable.write(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 0, common.new_path(spark, "sst"))
     return sstable.read(manifest)
 
 
