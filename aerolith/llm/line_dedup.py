@@ -16,7 +16,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -60,30 +60,29 @@ def removals(found: DataFrame) -> DataFrame:
     return once.groupBy(F.col("doc_id").alias("l_id"), F.col("row_hash").alias("l_hash")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
 
 
-def cut(text: str, removed: list[tuple[int, int]]) -> str:
-    """`text` without the spans and one line feed after each."""
-    parts, at = [], 0
-    for a, b in removed:
-        parts.append(text[at:a])
-        at = b + (text[b : b + 1] == "\n")
-    return "".join([*parts, text[at:]])
+#: Removals of more documents than this are joined by a shuffled hash table; the planner
+#: decides about smaller ones by their size.
+PLANNED_ROWS = 100_000
+
+
+def cut(text: Column, removed: Column) -> Column:
+    """`text` without the spans (start, end) and one line feed after each."""
+    begins = F.concat(F.transform(removed, lambda x: x["start"]), F.array(F.length(text)))
+    resumes = F.concat(F.array(F.lit(0)), F.transform(removed, lambda x: x["end"] + F.when(F.substring(text, x["end"] + 1, F.lit(1)) == "\n", 1).otherwise(0)))
+    return F.array_join(F.zip_with(resumes, begins, lambda a, b: F.substring(text, a + 1, b - a)), "")
 
 
 def dedup(documents: DataFrame, min_words: int = MIN_WORDS, kind: str = "line", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_removed, removed spans of the original text, and the text that is left."""
-    found, _ = common.saved(units(documents, min_words, kind, doc_id, text), "units")
+    found, path = common.saved(units(documents, min_words, kind, doc_id, text), "units")
     gone, _ = common.saved(removals(found), "removals")
+    common.drop(documents.sparkSession, path)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("row_hash"), F.col(text).alias("text"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("row_hash") == F.col("l_hash")), "left").select("doc_id", "text", "removed")
-
-    def run(batches):
-        for b in batches:
-            texts, removed = b.column(1).to_pylist(), b.column(2).to_pylist()
-            left = [t if not r else cut(t, [(x["start"], x["end"]) for x in r]) for t, r in zip(texts, removed, strict=True)]
-            spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r or ()) for r in removed], pa.int64()), pa.array([r or [] for r in removed], spans), pa.array(left, pa.string())], ["doc_id", "n_removed", "removed", "text"])
-
-    return joined.mapInArrow(run, "doc_id long, n_removed long, removed array<struct<start:int,end:int>>, text string")
+    if gone.count() > PLANNED_ROWS:
+        gone = gone.hint("shuffle_hash")
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("row_hash") == F.col("l_hash")), "left")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return joined.select("doc_id", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"), F.when(F.size("removed") > 0, cut(F.col("text"), F.col("removed"))).otherwise(F.col("text")).alias("text"))
 
 
 def digest(deduped: DataFrame) -> DataFrame:
