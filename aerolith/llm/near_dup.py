@@ -197,26 +197,58 @@ def _in_blocks(rows: DataFrame, group: str, blocks: str) -> DataFrame:
     return rows.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
-def _sparse_or_dense(least: tuple[int, int]):
+JUDGED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("kind", pa.int32())])
+
+
+def _judge(regs: np.ndarray, comp: np.ndarray, n: np.ndarray, rep: np.ndarray, own: np.ndarray, least: tuple[int, int]) -> list[np.ndarray]:
+    """a, b, kind of one block. Kind 0: pairs of two components to confirm. Kind 1: too many
+    of them; the block's rows, each tied to the first, as part of a family."""
     lo, hi = least
+    across = bool((own != own[0]).any())
+    found, room = [], SPARSE_PAIRS * len(rep) + 64
+    step = max(1, 8192 // len(rep))
+    for x in range(0, len(rep), step):
+        i, j = np.nonzero(np.arange(x, min(x + step, len(rep)))[:, None] < np.arange(len(rep))[None])
+        i += x
+        ok = (comp[i] != comp[j]) & (hi * np.minimum(n[i], n[j]) >= lo * np.maximum(n[i], n[j]))
+        if across:  # pairs within a block have their turn there
+            ok &= own[i] != own[j]
+        i, j = i[ok], j[ok]
+        near = likely(regs[i], regs[j], least)
+        found.append((i[near], j[near]))
+        room -= int(near.sum())
+        if room < 0:
+            return [np.full(len(rep), rep.min()), rep, np.ones(len(rep), np.int32)]
+    i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    return [np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]), np.zeros(len(i), np.int32)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """kind 0: pairs to confirm; kind 1: the block's rows, tied to its first, as a family."""
-        regs = np.frombuffer(b"".join(pdf["registers"]), np.uint16).reshape(len(pdf), -1)
-        comp, n, rep, own = (pdf[c].to_numpy() for c in ("comp", "n", "rep", "own"))
-        across = bool((own != own[0]).any())
-        pairs, room = [], SPARSE_PAIRS * len(pdf) + 64
-        for x in range(len(pdf) - 1):
-            ok = (comp[x + 1 :] != comp[x]) & (hi * np.minimum(n[x], n[x + 1 :]).astype(np.int64) >= lo * np.maximum(n[x], n[x + 1 :]).astype(np.int64))
-            if across:  # pairs within a block have their turn there
-                ok &= own[x + 1 :] != own[x]
-            at = np.flatnonzero(ok) + x + 1
-            if len(at):
-                at = at[likely(regs[x][None], regs[at], least)]
-                pairs += [(min(rep[x], rep[y]), max(rep[x], rep[y]), 0) for y in at.tolist()]
-                if len(pairs) > room:
-                    return pd.DataFrame({"a": np.full(len(rep), rep.min()), "b": rep, "kind": np.ones(len(rep), np.int32)})
-        return pd.DataFrame(pairs, columns=["a", "b", "kind"]).astype({"a": "int64", "b": "int64", "kind": "int32"})
+
+def _sparse_or_dense(least: tuple[int, int]):
+    """Judges the blocks of a partition that is sorted by (key, i, j), many in each batch."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def blocks(table: pa.Table, last: bool):
+            """Judged rows of all blocks of `table` that are complete, and what is left."""
+            key, i, j, rep, n, comp, own = (table[c].to_numpy() for c in ("key", "i", "j", "rep", "n", "comp", "own"))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            edges = [0, *cuts.tolist(), *([len(key)] if last else [])]
+            regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(len(key), -1)
+            n = n.astype(np.int64)
+            made = [_judge(regs[a:b], comp[a:b], n[a:b], rep[a:b], own[a:b], least) for a, b in zip(edges, edges[1:], strict=False) if b - a > 1]
+            columns = [np.concatenate(c) for c in zip(*made, strict=True)] if made else [np.zeros(0, np.int64)] * 3
+            out = pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, JUDGED, strict=True)], schema=JUDGED)
+            return out, table.slice(edges[-1])
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= 2 * BLOCK_ROWS:
+                out, rest = blocks(pa.Table.from_batches(held), False)
+                yield out
+                held = rest.to_batches()
+        if sum(x.num_rows for x in held):
+            yield blocks(pa.Table.from_batches(held), True)[0]
 
     return run
 
@@ -281,8 +313,8 @@ def linked(docs: DataFrame, sketch: DataFrame, classes: DataFrame, k: int, least
     stars = hits.where(fits).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     links = confirmed(stars, docs, sketch, k, least)
     found, _ = common.saved(components(links), "components")
-    # buckets in which several components are left
-    placed, _ = common.saved(_component(hits.select("key", "rep", "n"), found), "placed")
+    # buckets in which several components are left; pairs with the first one are done
+    placed, _ = common.saved(_component(hits.where("rep <> lead").select("key", "rep", "n"), found), "placed")
     still = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high")
     still, _ = common.saved(still.select(F.col("key").alias("open"), F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK_ROWS)).cast("int").alias("blocks")), "open")
     if still.isEmpty():
@@ -290,7 +322,9 @@ def linked(docs: DataFrame, sketch: DataFrame, classes: DataFrame, k: int, least
     rows = placed.join(still, F.col("key") == F.col("open")).select("key", "rep", "n", "comp", "blocks")
     regs = sketch.select(F.col("doc_id").alias("rep"), "registers")
     rows = _in_blocks(common.salted_lookup(rows, "rep", F.xxhash64("key"), regs, "inner"), "key", "blocks")
-    judged, _ = common.saved(rows.groupBy("key", "i", "j").applyInPandas(_sparse_or_dense(least), "a long, b long, kind int"), "judged")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    common.text_batches(docs.sparkSession, 4 * BLOCK_ROWS)
+    judged, _ = common.saved(rows.mapInArrow(_sparse_or_dense(least), "a long, b long, kind int"), "judged")
     few = judged.where("kind = 0").select("a", "b").distinct()
     links = links.unionByName(confirmed(few, docs, sketch, k, least))
     ties = judged.where("kind = 1").select("a", "b").distinct()
