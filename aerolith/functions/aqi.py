@@ -35,8 +35,10 @@ def level(index: Column | str) -> Column:
 
 
 def label(lev: Column | str, standard: str = "VN_1459") -> Column:
-    names = S.load_standard(standard)[2]
-    return F.element_at(F.array(*(F.lit(x) for x in names)), _col(lev))
+    c, out = _col(lev), None
+    for i, name in enumerate(S.load_standard(standard)[2], 1):
+        out = F.when(c == i, name) if out is None else out.when(c == i, name)
+    return out
 
 
 def with_reduced(df: DataFrame, parts: Sequence[str], value: str = "aqi") -> DataFrame:
@@ -116,6 +118,12 @@ def nowcast_of(values: Sequence[Column], weight: Column) -> Column:
     return F.when(recent >= 2, _weighted(values, weight))
 
 
+def _fenced(c: Column) -> Column:
+    """`c`, which the optimizer leaves where it is. A filter on an index would otherwise be
+    moved below it, with the formula written out at each mention: some 100,000 nodes."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def add_nowcast(df: DataFrame, pollutants: Sequence[str] = ("pm2_5", "pm10"), gapless: bool = True, slice_hours: int | None = None) -> DataFrame:
     """`df` with nowcast_{p}. On an hourly grid the last twelve rows are the last twelve
     hours; otherwise each lag counts only if its hour is within them. All lags share one
@@ -145,7 +153,7 @@ def add_nowcast(df: DataFrame, pollutants: Sequence[str] = ("pm2_5", "pm10"), ga
         wide = wide.withColumns(hours).drop(*(f"__back_{i}" for i in range(1, 12)))
     values = {p: [F.col(p), *(F.col(f"__{p}_{i}") for i in range(1, 12))] for p in pollutants}
     wide = wide.withColumns({f"__w_{p}": nowcast_weight(v) for p, v in values.items()})
-    out = wide.withColumns({f"nowcast_{p}": nowcast_of(v, F.col(f"__w_{p}")) for p, v in values.items()}).drop(*lags, *(f"__w_{p}" for p in pollutants))
+    out = wide.withColumns({f"nowcast_{p}": _fenced(nowcast_of(v, F.col(f"__w_{p}"))) for p, v in values.items()}).drop(*lags, *(f"__w_{p}" for p in pollutants))
     return out.where(~F.col("__halo")).drop("__slice", "__halo") if slice_hours else out
 
 

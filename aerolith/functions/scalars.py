@@ -65,7 +65,7 @@ def station_codes(cities: DataFrame, order: str = "city") -> DataFrame:
 
 def is_junk_name(name: Column, words: tuple[str, ...]) -> Column:
     """Names that begin with one of the given words, whatever their case."""
-    return name.rlike("(?i)^(" + "|".join(words) + ")")
+    return name.rlike("(?iu)^(" + "|".join(words) + ")")
 
 
 def windows(spark: SparkSession, start: str, end: str, days: int = 90) -> DataFrame:
