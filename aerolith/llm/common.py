@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -73,3 +75,21 @@ def rows_of(batches, n_bytes: int, column: str = "text"):
             held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+
+
+def lean(run):
+    """`run` over Arrow batches, after which the worker, which is used again, gives back
+    the memory it no longer needs."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass
+
+    return wrapped

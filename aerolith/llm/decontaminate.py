@@ -25,7 +25,7 @@ from . import common, words
 from .fm_index import FMIndex
 
 WINDOW = 10
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Phrases are sent to the executors in groups of at most so many bytes of item text.
 GROUP_BYTES = 32 << 20
 
@@ -161,7 +161,7 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_i
                     ["doc_id", "row_hash", "n_words", "hits", "items"],
                 )
 
-        return docs.mapInArrow(run, SCHEMA)
+        return docs.mapInArrow(common.lean(run), SCHEMA)
 
     groups = [searched(p) for p in phrase_groups(benchmark, window, limit=limit)]
     if len(groups) == 1:
@@ -243,7 +243,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
                     shard = shard.filter(keep)
                 yield from shard.combine_chunks().to_batches()
 
-        out = out.mapInArrow(run, documents.schema)
+        out = out.mapInArrow(common.lean(run), documents.schema)
     return out
 
 

@@ -47,7 +47,7 @@ def units(documents: DataFrame, min_words: int = MIN_WORDS, kind: str = "line",
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "row_hash", "start", "end", "digest"])
 
-    return docs.mapInArrow(run, UNITS)
+    return docs.mapInArrow(common.lean(run), UNITS)
 
 
 def removals(found: DataFrame) -> DataFrame:

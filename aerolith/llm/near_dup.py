@@ -39,7 +39,7 @@ SHINGLE_WORDS = 3
 LEAST = (85, 100)
 BUCKET_BITS, MANTISSA_BITS = 8, 10
 BANDS, BAND_REGISTERS = 32, 4
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_ROWS = 1024
 BLOCK_BYTES = 24 << 20
 #: A block with more estimated pairs than this per row goes to families.
@@ -139,7 +139,7 @@ def sketches(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
             marks = [np.array([len(s), s.sum(dtype=np.uint64), words.mixed(s * _MIX[0]).sum(dtype=np.uint64)], np.uint64).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([shard["doc_id"].combine_chunks(), pa.array([len(s) for s in sets], pa.int32()), pa.array(marks, pa.binary()), pa.array(band_keys(regs), pa.list_(pa.int64())), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "n", "fp", "bands", "registers"])
 
-    return docs.mapInArrow(run, SKETCH)
+    return docs.mapInArrow(common.lean(run), SKETCH)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -150,7 +150,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         for shard in common.rows_of(batches, SHARD_BYTES):
             yield pa.RecordBatch.from_arrays([shard["doc_id"].combine_chunks(), pa.array([s.tobytes() for s in shingle_sets(shard["text"].to_pylist(), k)], pa.binary())], ["doc_id", "set"])
 
-    return wanted.mapInArrow(run, "doc_id long, set binary")
+    return wanted.mapInArrow(common.lean(run), "doc_id long, set binary")
 
 
 def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -172,7 +172,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, k: int, leas
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(likely(*both, least)))
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    near, _ = common.saved(_with_both(pairs, sketch.select("doc_id", "registers"), "registers").mapInArrow(close, "a long, b long"), "near-pairs")
+    near, _ = common.saved(_with_both(pairs, sketch.select("doc_id", "registers"), "registers").mapInArrow(common.lean(close), "a long, b long"), "near-pairs")
     ids, _ = common.saved(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
     common.text_batches(spark)
     sets, _ = common.saved(_sets(docs, ids, k), "sets")
@@ -186,7 +186,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, k: int, leas
                 keep.append(bool(both) and least[1] * both >= least[0] * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return common.saved(_with_both(near, sets, "set").mapInArrow(equal, "a long, b long").distinct(), "links")[0]
+    return common.saved(_with_both(near, sets, "set").mapInArrow(common.lean(equal), "a long, b long").distinct(), "links")[0]
 
 
 def _in_blocks(rows: DataFrame, group: str, blocks: str) -> DataFrame:
@@ -324,7 +324,7 @@ def linked(docs: DataFrame, sketch: DataFrame, classes: DataFrame, k: int, least
     rows = _in_blocks(common.salted_lookup(rows, "rep", F.xxhash64("key"), regs, "inner"), "key", "blocks")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     common.text_batches(docs.sparkSession, 4 * BLOCK_ROWS)
-    judged, _ = common.saved(rows.mapInArrow(_sparse_or_dense(least), "a long, b long, kind int"), "judged")
+    judged, _ = common.saved(rows.mapInArrow(common.lean(_sparse_or_dense(least)), "a long, b long, kind int"), "judged")
     few = judged.where("kind = 0").select("a", "b").distinct()
     links = links.unionByName(confirmed(few, docs, sketch, k, least))
     ties = judged.where("kind = 1").select("a", "b").distinct()

@@ -51,7 +51,7 @@ def pieces(documents: DataFrame, tokenizer: str, end_id: int, capacity: int = CA
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], names)
 
-    return docs.mapInArrow(run, PIECES + ", ids binary" * with_ids)
+    return docs.mapInArrow(common.lean(run), PIECES + ", ids binary" * with_ids)
 
 
 @dataclass
@@ -165,7 +165,7 @@ def pack(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema if f.name != "salt")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    return ranked.mapInArrow(run, schema + ", sequence_id long, offset long")
+    return ranked.mapInArrow(common.lean(run), schema + ", sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -278,7 +278,7 @@ def pseudonymise(documents: DataFrame, key: bytes, doc_id: str = "doc_id", text:
             found = pa.array([[{"start": s, "end": e, "kind": k} for s, e, k in f] for _, f in done], SPAN)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(f) for _, f in done], pa.int64()), found, pa.array([t for t, _ in done], pa.string())], ["doc_id", "n_found", "found", "text"])
 
-    return docs.mapInArrow(run, "doc_id long, n_found long, found array<struct<start:int,end:int,kind:string>>, text string")
+    return docs.mapInArrow(common.lean(run), "doc_id long, n_found long, found array<struct<start:int,end:int,kind:string>>, text string")
 
 
 def replace(documents: DataFrame, key: bytes) -> DataFrame:
@@ -298,4 +298,4 @@ def replace(documents: DataFrame, key: bytes) -> DataFrame:
                 columns[n] = pa.array([len(y) if x is not y else k for x, y, k in zip(old, new, columns[n].to_pylist(), strict=True)], b.schema.field(n).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(common.lean(run), documents.schema)

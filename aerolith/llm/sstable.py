@@ -216,7 +216,7 @@ def write(documents: DataFrame, tokenizer: str, end_id: int, folder: str, doc_id
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "first_key": pa.array([first], pa.binary()), "n_docs": [len(writer.keys)], "n_ids": [writer.n_ids]})
 
-    return common.saved(ranged.mapInArrow(run, MANIFEST), "sst-manifest")[0]
+    return common.saved(ranged.mapInArrow(common.lean(run), MANIFEST), "sst-manifest")[0]
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -236,4 +236,4 @@ def read(manifest: DataFrame) -> DataFrame:
                         at += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(common.lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

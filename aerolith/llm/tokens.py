@@ -17,12 +17,12 @@ import numpy as np
 from . import words
 
 #: Parts in the table before it is emptied, and the longest part that is kept (bytes).
-TABLE_PARTS = 3_000_000
+TABLE_PARTS = 1_000_000
 LONGEST_PART = 64
 #: New parts that are encoded as one text.
 JOINED_PARTS = 128
 #: Good sizes of the shards that encode() gets (bytes of text).
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: White space outside ASCII.
 _RARE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _MARK = "\x01"

@@ -41,7 +41,7 @@ ORDINARY_BYTES, TOXIC_BYTES = 24 << 10, 4 << 10
 LOG_ODDS, MIN_CONTEXTS, PREFIX = 2.0, 6, 4
 GAINS = (1, 2, 3, 5)
 TOP = 4
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 STRATEGY = zstandard.STRATEGY_BTOPT
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -292,7 +292,7 @@ def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str
         for shard in common.rows_of(batches, SHARD_BYTES):
             yield pa.RecordBatch.from_arrays([shard["doc_id"].combine_chunks(), pa.array(sent.value.score(shard["text"].to_pylist()))], ["doc_id", "score"])
 
-    out = docs.mapInArrow(run, "doc_id long, score double")
+    out = docs.mapInArrow(common.lean(run), "doc_id long, score double")
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -307,4 +307,4 @@ def reject(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
         for shard in common.rows_of(batches, SHARD_BYTES):
             yield from shard.filter(pa.array(sent.value.score(shard["text"].to_pylist()) < 0.5)).combine_chunks().to_batches()
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(common.lean(run), documents.schema)

@@ -181,7 +181,7 @@ def write(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES, rev
             done.append((address, n))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], ["path", "n_records"])
 
-    return common.saved(joined.mapInArrow(run, "path string, n_records long"), "archives")[0]
+    return common.saved(joined.mapInArrow(common.lean(run), "path string, n_records long"), "archives")[0]
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
@@ -207,7 +207,7 @@ def read(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield _table(rows)
 
-    found, _ = common.saved(archives.select("path").repartition(max(1, files)).mapInArrow(parsed, RECORD), "records")
+    found, _ = common.saved(archives.select("path").repartition(max(1, files)).mapInArrow(common.lean(parsed), RECORD), "records")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem"]
     whole = found.where("origin IS NULL").select(*columns)
     once = found.where("origin IS NOT NULL").groupBy("origin", "number").agg(*(F.first(c, True).alias(c) for c in ("page_id", "payload_digest", "record_type", "total", "block")), F.count("*").alias("copies"))
@@ -230,7 +230,7 @@ def read(archives: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], columns)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, problem string"
-    return whole.unionByName(gathered.mapInArrow(put_together, schema))
+    return whole.unionByName(gathered.mapInArrow(common.lean(put_together), schema))
 
 
 ORACLE_SQL = """
