@@ -38,5 +38,6 @@ def components(edges: DataFrame) -> DataFrame:
     out = steps[0].withColumnRenamed("to", "component")
     for step in steps[1:]:
         more = step.select(F.col("node").alias("component"), F.col("to").alias("next"))
-        out = common.salted_lookup(out, "component", F.xxhash64("node"), more).select("node", F.coalesce("next", "component").alias("component"))
+        # written each time: a lookup reads its left side twice, so plans would double
+        out, _ = common.saved(common.salted_lookup(out, "component", F.xxhash64("node"), more).select("node", F.coalesce("next", "component").alias("component")), "components")
     return out
