@@ -199,7 +199,8 @@ def _secret(value: str, move: Move) -> str | None:
 #: Kind, form and validation; earlier ones win where several begin at one place.
 _NUMBERS = (
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", _iban),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)", _phone),
+    ("phone", r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)", _phone),
+    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\w)", _phone),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
     ("date", r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-])", _date),
     ("ipv4", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _ipv4),
@@ -216,6 +217,11 @@ _NAMED = re.compile(r"(?:token|password|passwd|secret|api[_-]?key|access[_-]?key
 _VALUE = re.compile(r"\s*[\"']?([A-Za-z0-9_+/~.-]{6,}[A-Za-z0-9_+/~=-])")
 
 
+def _SAME(x: int, n: int, what: str) -> int:  # noqa: N802, ARG001
+    """The move that moves nothing: makers then only validate."""
+    return x
+
+
 def _candidates(text: str):
     """(start, end, kind, maker) of what may be a value, in any order."""
     at = text.find("@")
@@ -236,13 +242,14 @@ def _candidates(text: str):
         hi = min(len(text), near.end() + 64)
         while hi < len(text) and text[hi].isalnum():
             hi += 1
-        for m in _NUMBER.finditer(text, lo, hi):
-            if m.start() >= near.end():  # has digits of its own, and its turn
-                break
-            if m.start() >= done:
-                kind, make = _MAKERS[m.lastgroup]
+        # a form that fails validation may hide one that begins within it
+        while (m := _NUMBER.search(text, lo, hi)) and m.start() < near.end():
+            kind, make = _MAKERS[m.lastgroup]
+            if make(m.group(), _SAME) is None:
+                lo = m.start() + 1
+            else:
                 yield m.start(), m.end(), kind, make
-                done = m.end()
+                lo = done = m.end()
 
 
 def pseudonymised(text: str | None, move: Move) -> tuple[str | None, list[tuple[int, int, str]]]:
