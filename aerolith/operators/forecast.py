@@ -31,6 +31,10 @@ def fit_forest(train: DataFrame, trees: int = 100, depth: int = 10, seed: int =
     return Pipeline(stages=[assemble, forest]).fit(train)
 
 
+def save_forest(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
 def importances(model: PipelineModel) -> DataFrame:
     """(feature, importance), largest first."""
     from pyspark.sql import SparkSession
@@ -92,6 +96,18 @@ class OnlineLinear:
         if total:
             self.weights = sum(np.array(r.w) * r.n for r in got) / total
 
+    def save(self, spark, path: str) -> None:
+        """Weights and scaler as a table of one row."""
+        row = (list(self.features), self.target, self.weights.tolist(), self.mean.tolist(), self.sd.tolist())
+        spark.createDataFrame([row], "features array<string>, target string, weights array<double>, mean array<double>, sd array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> OnlineLinear:
+        r = spark.read.parquet(path).first()
+        out = cls(r.features, r.target)
+        out.weights, out.mean, out.sd = np.array(r.weights), np.array(r.mean), np.array(r.sd)
+        return out
+
     def predict(self, df: DataFrame) -> DataFrame:
         scale = self.weights[:-1] / self.sd
         base = float(self.weights[-1] - (scale * self.mean).sum())

@@ -15,6 +15,8 @@ def get_session(app: str = "aerolith", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # the JVM never compiles methods beyond this; the index's formulas would run interpreted
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)

@@ -128,7 +128,7 @@ def test_split_and_scaling(spark):
     assert abs(scaled.mean()) < 1e-9 and scaled.std() == pytest.approx(1)
 
 
-def test_forecasts(spark):
+def test_forecasts(spark, tmp_path):
     f = features.forecast_features(hourly(spark, 24 * 100)).cache()
     train, test = features.time_split(f)
     model = forecast.fit_forest(features.in_chunks(f, train), trees=10, depth=6)
@@ -138,7 +138,12 @@ def test_forecasts(spark):
     weights = [r.importance for r in forecast.importances(model).collect()]
     assert sum(weights) == pytest.approx(1) and weights == sorted(weights, reverse=True)
     online = forecast.OnlineLinear(epochs=3).fit(features.in_chunks(f, train))
-    assert np.isfinite(forecast.measures(online.predict(held)).first().rmse)
+    want = forecast.measures(online.predict(held)).first()
+    assert np.isfinite(want.rmse)
+    online.save(spark, f"{tmp_path}/online")
+    forecast.save_forest(model, f"{tmp_path}/forest")
+    assert forecast.measures(forecast.OnlineLinear.load(spark, f"{tmp_path}/online").predict(held)).first() == want
+    assert forecast.measures(forecast.PipelineModel.load(f"{tmp_path}/forest").transform(held)).first().r2 == pytest.approx(m.r2)
 
 
 def test_clusters(spark):
