@@ -209,8 +209,9 @@ _NUMBERS = (
 )
 _MAKERS = {f"k{i}": (kind, make) for i, (kind, _, make) in enumerate(_NUMBERS)}
 _NUMBER = re.compile("|".join(f"(?P<k{i}>{form})" for i, (_, form, _) in enumerate(_NUMBERS)))
-#: Every form has a run of digits; only the words beside one are looked at closely.
-_NEAR_DIGITS = re.compile(r"\d[\d.:/()+ -]{5,}|\d{4}[A-Z0-9 ]{6,}")
+#: Every form has a run of digits, or begins as an IBAN does (its bank code may be letters,
+#: far from the first run); only the words beside one are looked at closely.
+_NEAR_DIGITS = re.compile(r"\d[\d.:/()+ -]{5,}|\d{4}[A-Z0-9 ]{6,}|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2}")
 _LOCAL = re.compile(r"[A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _NAMED = re.compile(r"(?:token|password|passwd|secret|api[_-]?key|access[_-]?key)[\"']?\s*\Z", re.I)

@@ -35,6 +35,14 @@ def test_formats_hold(value, kind):
     assert [f[2] for f in found2] == [kind]  # a pseudonym is as valid as the value
 
 
+@pytest.mark.parametrize("value", ["GB29 NWBK 6016 1331 9268 19", "NL91 ABNA 0417 1643 00", "IE29 AIBK 9311 5212 3456 78", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"])
+def test_ibans_with_a_bank_code_of_letters(value):
+    for form in (value, value.replace(" ", "")):
+        new, found = P.pseudonymised(f"to {form}, and 4111 1111 1111 1111", MOVE)
+        assert [f[2] for f in found] == ["iban", "card"]
+        assert found[0][:2] == (3, 3 + len(form)) and form not in new
+
+
 def test_linked_across_forms_and_validated():
     new, _ = P.pseudonymised("4111 1111 1111 1111 / 4111111111111111 / 1990-02-28 / 28.02.1990", MOVE)
     a, b, c, d = new.split(" / ")
