@@ -482,14 +482,14 @@ def reject_records(spark, d):
 @query()
 def kmeans_city_months(spark, d):
     df = aggregate.seasonality(_shipments(spark, d), F.col("ts"))
-    out, _, k, value = cluster.fit(df, "kmeans", ks=(2, 3, 4))
+    out, _, k, value = cluster.fit(df, "kmeans")
     return out.select("city", "country", "month", "prediction", F.lit(k).alias("k"), F.lit(float(value)).alias("silhouette"))
 
 
 @query()
 def clustering_tournament(spark, d):
     df = aggregate.seasonality(_shipments(spark, d), F.col("ts"))
-    _, found = cluster.tournament(df, ks=(2, 3))
+    _, found = cluster.tournament(df)
     return spark.createDataFrame([(a, r[2], float(r[3])) for a, r in found.items()], "algorithm string, k int, silhouette double")
 
 
