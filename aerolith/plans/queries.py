@@ -501,7 +501,7 @@ def dbscan_cities(spark, d):
 @query()
 def density_sweep(spark, d):
     df = aggregate.seasonality(_shipments(spark, d), F.col("ts"))
-    both = cluster.sweep(df, "city", cluster.FEATURES, "dbscan", (1.0, 1.5, 2.0), (2, 3)).withColumn("kind", F.lit("dbscan"))
+    both = cluster.sweep(df, "city", cluster.FEATURES, "dbscan").withColumn("kind", F.lit("dbscan"))
     return both.unionByName(cluster.sweep(df, "city", cluster.FEATURES, "hdbscan").withColumn("kind", F.lit("hdbscan")))
 
 

@@ -26,3 +26,8 @@ def test_every_k_is_tried(spark, monkeypatch, name):
     with pytest.raises(Seen) as e:
         QUERIES[name](spark, FOLDER)
     assert e.value.args[0] == (2, 3, 4, 5, 6)
+
+
+def test_density_sweep_has_every_setting(spark):
+    rows = [(r.eps, r.size) for r in QUERIES["density_sweep"](spark, FOLDER).where("kind = 'dbscan'").collect()]
+    assert sorted(rows) == [(e, m) for e in (0.5, 1.0, 1.5, 2.0, 2.5, 3.0) for m in (2, 3, 4)]
