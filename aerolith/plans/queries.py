@@ -509,7 +509,7 @@ def density_sweep(spark, d):
 def rf_forecast(spark, d):
     f = _features(spark, d).cache()
     train, test = features.time_split(f, "chunk_day")
-    model = forecast.fit_forest(features.in_chunks(f, train, "chunk_day"), trees=20, depth=6)
+    model = forecast.fit_forest(features.in_chunks(f, train, "chunk_day"))
     return forecast.measures(model.transform(features.in_chunks(f, test, "chunk_day")))
 
 
@@ -517,7 +517,7 @@ def rf_forecast(spark, d):
 def online_forecast(spark, d):
     f = _features(spark, d).cache()
     train, test = features.time_split(f, "chunk_day")
-    model = forecast.OnlineLinear(epochs=5).fit(features.in_chunks(f, train, "chunk_day"), "chunk_day")
+    model = forecast.OnlineLinear().fit(features.in_chunks(f, train, "chunk_day"), "chunk_day")
     return forecast.measures(model.predict(features.in_chunks(f, test, "chunk_day")))
 
 

@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from aerolith.operators import cluster
+from aerolith.operators import cluster, forecast
 from aerolith.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
@@ -31,3 +31,23 @@ def test_every_k_is_tried(spark, monkeypatch, name):
 def test_density_sweep_has_every_setting(spark):
     rows = [(r.eps, r.size) for r in QUERIES["density_sweep"](spark, FOLDER).where("kind = 'dbscan'").collect()]
     assert sorted(rows) == [(e, m) for e in (0.5, 1.0, 1.5, 2.0, 2.5, 3.0) for m in (2, 3, 4)]
+
+
+def test_forest_has_100_trees_of_depth_10(spark, monkeypatch):
+    def seen(self, df):
+        raise Seen(self.getNumTrees(), self.getMaxDepth())
+
+    monkeypatch.setattr(forecast.RandomForestRegressor, "fit", seen)
+    with pytest.raises(Seen) as e:
+        QUERIES["rf_forecast"](spark, FOLDER)
+    assert e.value.args == (100, 10)
+
+
+def test_online_model_makes_30_epochs(spark, monkeypatch):
+    def seen(self, chunk):
+        raise Seen(self.epochs)
+
+    monkeypatch.setattr(forecast.OnlineLinear, "_step", seen)
+    with pytest.raises(Seen) as e:
+        QUERIES["online_forecast"](spark, FOLDER)
+    assert e.value.args == (30,)
