@@ -1,13 +1,23 @@
-"""Substring deduplication by hashes of lines or paragraphs over all documents.
-
-Units of at least `min_words` words are normalised (lower case, white space collapsed) and
-hashed to 128 bits. Of equal units over the whole table the earliest, by document id and
-place, stays; the others are removed, and their places in the original text kept. Digests
-are grouped with map-side minima; only units whose digest occurs twice travel further.
-
-Defined cases: null and blank texts have no units; shorter units always stay; a null doc_id
-ranks before all others; rows equal in id and text are one document and all keep or lose
-the same units; extra columns are not read, so their names can't clash.
+"""Substring deduplication by hashes of sentences, lines or paragraphs over all documents.
+
+A unit is a line cut at sentence ends (kind "sentence"), a whole line, or a paragraph. A
+sentence of more than `WHOLE` words is cut again behind a word where the hash of it and the
+next is the least within `RADIUS` places, so that a passage inside longer text is cut alike
+wherever it stands. Units are normalised (A-Z lower-cased, white space collapsed) and hashed
+to 128 bits. Of equal units over the whole table the earliest, by document id and place,
+stays; the others are repeats. A run of neighbouring repeats, from its first to its last
+unit of `COUNTED` words or more, is removed when those units hold `min_words` words
+together: short lines and chance phrases alone stay. The places of removed runs are those
+of the original text.
+
+Digests are grouped with map-side minima; only units whose digest occurs twice travel
+further, by a join on written tables, which the adaptive planner splits where one digest
+holds a large part of all units.
+
+Defined cases: null and blank texts have no units and stay as they are; a null doc_id ranks
+before all others; rows equal in id and text are one document and all keep or lose the same
+units; a document of nothing but repeats keeps its row, with no text left; ids are integers;
+extra columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -16,66 +26,127 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-MIN_WORDS = 5
-UNITS = "doc_id long, row_hash long, start int, end int, digest binary"
+MIN_WORDS = 20
+COUNTED = 5
+WHOLE = 15
+RADIUS = 5
+UNITS = "doc_id long, row_hash long, place int, start int, end int, words int, digest binary"
 _PARAGRAPH = re.compile(r"[^\n]+(?:\n(?!\s*\n)[^\n]+)*")
 _LINE = re.compile(r"[^\n]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-KINDS = {"line": _LINE, "paragraph": _PARAGRAPH}
-
-
-def units_of(text: str | None, min_words: int = MIN_WORDS, kind: str = "line"):
-    """(start, end, digest) of the units of a text, places in code points."""
-    for m in KINDS[kind].finditer(text or ""):
-        found = _WORD.findall(m.group().lower())
-        if len(found) >= min_words:
-            yield m.start(), m.end(), hashlib.blake2b(" ".join(found).encode("utf-8", "replace"), digest_size=16).digest()
-
-
-def units(documents: DataFrame, min_words: int = MIN_WORDS, kind: str = "line", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+#: A word that ends a sentence, and the last characters that such a word can have.
+_ENDS = re.compile(r"[.!?。！？][\"')\]’”»]*\Z")
+_LAST = frozenset(".!?。！？\"')]’”»")
+_CACHED_WORDS = 1 << 18
+_hashed: dict[str, int] = {}
+
+
+def _word_hash(word: str) -> int:
+    found = _hashed.get(word)
+    if found is None:
+        if len(_hashed) >= _CACHED_WORDS:
+            _hashed.clear()
+        found = _hashed[word] = int(hashlib.md5(_normal(word)).hexdigest()[:7], 16)
+    return found
+
+
+def _normal(text: str) -> bytes:
+    return text.encode("utf-8", "replace").lower()
+
+
+def _cuts(words: list[str]) -> list[int]:
+    """Places behind which a long sentence is cut: strictly below what goes before."""
+    h = [_word_hash(w) for w in words]
+    pairs = [(a * 1000003 + b) % 1073741789 for a, b in zip(h, h[1:], strict=False)]
+    least = []
+    for i, p in enumerate(pairs):
+        if p == min(pairs[max(0, i - RADIUS) : i + RADIUS + 1]) and p not in pairs[max(0, i - RADIUS) : i]:
+            least.append(i + 1)
+    return least
+
+
+def _sentences(words: list[re.Match]) -> list[int]:
+    """Places behind which the words of a line are cut, the last included."""
+    out, first = [], 0
+    for i, m in enumerate(words, 1):
+        w = m.group()
+        if i == len(words) or (w[-1] in _LAST and _ENDS.search(w)):
+            if i - first > WHOLE:
+                out += [first + c for c in _cuts([x.group() for x in words[first:i]])]
+            out.append(i)
+            first = i
+    return out
+
+
+def units_of(text: str | None, kind: str = "sentence"):
+    """(place, start, end, words, digest) of the units of a text, offsets in code points."""
+    place = 0
+    for m in (_PARAGRAPH if kind == "paragraph" else _LINE).finditer(text or ""):
+        words = list(_WORD.finditer(m.group()))
+        first = 0
+        for last in _sentences(words) if kind == "sentence" else [len(words)] * bool(words):
+            own = b" ".join([_normal(w.group()) for w in words[first:last]])
+            yield place, m.start() + words[first].start(), m.start() + words[last - 1].end(), last - first, hashlib.blake2b(own, digest_size=16).digest()
+            place, first = place + 1, last
+
+
+def units(documents: DataFrame, kind: str = "sentence", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     common.text_batches(documents.sparkSession)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("row_hash"), F.col(text).alias("text"))
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    names = ["doc_id", "row_hash", "place", "start", "end", "words", "digest"]
 
     def run(batches):
         for b in batches:
-            rows = [(k, h, *u) for k, h, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for u in units_of(t, min_words, kind)]
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "row_hash", "start", "end", "digest"])
+            rows = [(k, h, *u) for k, h, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for u in units_of(t, kind)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     return docs.mapInArrow(common.lean(run), UNITS)
 
 
-def removals(found: DataFrame) -> DataFrame:
-    """doc_id, row_hash, removed (start, end), of rows that lose a unit."""
-    rank = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "start")
+def removals(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """l_id, l_hash, removed (start, end), of rows that lose a run of units."""
+    rank = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "start", "row_hash")
     twice = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
     twice, _ = common.saved(twice.select(F.col("digest").alias("again"), "first"), "repeated")
     lost = found.join(twice, F.col("digest") == F.col("again")).where(~rank.eqNullSafe(F.col("first")))
-    once = lost.groupBy("doc_id", "row_hash", "start").agg(F.max("end").alias("end"))
-    return once.groupBy(F.col("doc_id").alias("l_id"), F.col("row_hash").alias("l_hash")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    own = ["doc_id", "row_hash"]
+    once = lost.select(*own, "place", "start", "end", "words").repartition(*own).dropDuplicates([*own, "place"])
+    run = F.col("place") - F.row_number().over(Window.partitionBy(*own).orderBy("place"))
+    counted = [f(F.when(F.col("words") >= COUNTED, F.col(c))).alias(c) for f, c in ((F.min, "start"), (F.max, "end"), (F.sum, "words"))]
+    runs = once.withColumn("run", run).groupBy(*own, "run").agg(*counted).where(F.col("words") >= min_words)
+    return runs.groupBy(F.col("doc_id").alias("l_id"), F.col("row_hash").alias("l_hash")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
 
 
 #: Removals of more documents than this are joined by a shuffled hash table; the planner
-#: decides about smaller ones by their size.
+#: decides about smaller ones by their size. The result is the same.
 PLANNED_ROWS = 100_000
 
 
 def cut(text: Column, removed: Column) -> Column:
-    """`text` without the spans (start, end) and one line feed after each."""
+    """`text` without the spans (start, end), nor the space after each, nor the line feed
+    after one that begins its line."""
     begins = F.concat(F.transform(removed, lambda x: x["start"]), F.array(F.length(text)))
-    resumes = F.concat(F.array(F.lit(0)), F.transform(removed, lambda x: x["end"] + F.when(F.substring(text, x["end"] + 1, F.lit(1)) == "\n", 1).otherwise(0)))
+
+    def resume(x: Column) -> Column:
+        after = F.substring(text, x["end"] + 1, F.lit(1))
+        whole = (x["start"] == 0) | (F.substring(text, x["start"], F.lit(1)) == "\n")
+        return x["end"] + F.when((after == " ") | ((after == "\n") & whole), 1).otherwise(0)
+
+    resumes = F.concat(F.array(F.lit(0)), F.transform(removed, resume))
     return F.array_join(F.zip_with(resumes, begins, lambda a, b: F.substring(text, a + 1, b - a)), "")
 
 
-def dedup(documents: DataFrame, min_words: int = MIN_WORDS, kind: str = "line", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_removed, removed spans of the original text, and the text that is left."""
-    found, path = common.saved(units(documents, min_words, kind, doc_id, text), "units")
-    gone, _ = common.saved(removals(found), "removals")
+def dedup(documents: DataFrame, min_words: int = MIN_WORDS, kind: str = "sentence", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_removed runs, removed spans of the original text, and the text that is left."""
+    found, path = common.saved(units(documents, kind, doc_id, text), "units")
+    gone, _ = common.saved(removals(found, min_words), "removals")
     common.drop(documents.sparkSession, path)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("row_hash"), F.col(text).alias("text"))
     if gone.count() > PLANNED_ROWS:
@@ -92,11 +163,22 @@ def digest(deduped: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH l AS (SELECT doc_id, text, u.i AS i, len(string_split(text, chr(10))) AS n, string_split(text, chr(10))[u.i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
-o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
-             list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
-r AS (SELECT *, CASE WHEN len(w) >= 5 THEN row_number() OVER (PARTITION BY w ORDER BY doc_id, start) > 1 ELSE false END AS gone FROM o),
-a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(start || '-' || (start + length(line)), ',' ORDER BY i) FILTER (gone), '') AS removed,
-             coalesce(string_agg(line || CASE WHEN i < n THEN chr(10) ELSE '' END, '' ORDER BY i) FILTER (NOT gone), '') AS text FROM r GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed, CASE WHEN d.text IS NULL THEN NULL ELSE a.text END AS text FROM documents d LEFT JOIN a USING (doc_id)
+WITH k AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS toks FROM documents),
+t AS (SELECT doc_id, u.i AS i, toks[u.i] AS tok FROM k, unnest(range(1, len(toks) + 1)) AS u(i)),
+w AS (SELECT doc_id, i, trim(tok, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS word, contains(tok, chr(10)) AS line, (sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS e FROM t),
+a AS (SELECT *, e - length(word) AS s, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+             line OR coalesce(lag(regexp_matches(word, '[.!?。！？]["'')\]’”»]*$')) OVER (PARTITION BY doc_id ORDER BY i), true) AS fresh FROM w),
+b AS (SELECT *, ('0x' || substr(md5(low), 1, 7))::BIGINT AS h, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY i) AS sent FROM a),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, sent) AS size, (h * 1000003 + lead(h) OVER (PARTITION BY doc_id, sent ORDER BY i)) % 1073741789 AS p FROM b),
+d AS (SELECT *, size > 15 AND p < coalesce(min(p) OVER (PARTITION BY doc_id, sent ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 1073741789)
+                AND p <= coalesce(min(p) OVER (PARTITION BY doc_id, sent ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), 1073741789) AS least FROM c),
+f AS (SELECT *, count(*) FILTER (fresh OR prev) OVER (PARTITION BY doc_id ORDER BY i) AS place FROM (SELECT *, coalesce(lag(least) OVER (PARTITION BY doc_id ORDER BY i), false) AS prev FROM d)),
+g AS (SELECT doc_id, place, min(s) AS s, max(e) AS e, count(*) AS n, string_agg(low, ' ' ORDER BY i) AS unit FROM f GROUP BY doc_id, place),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, s) > 1 AS again FROM g) WHERE again),
+v AS (SELECT doc_id, min(s) FILTER (n >= 5) AS s, max(e) FILTER (n >= 5) AS e FROM (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM r) GROUP BY doc_id, run HAVING sum(n) FILTER (n >= 5) >= 20),
+x AS (SELECT v.doc_id, s, e, e + CASE WHEN substr(text, e + 1, 1) = ' ' OR (substr(text, e + 1, 1) = chr(10) AND (s = 0 OR substr(text, s, 1) = chr(10))) THEN 1 ELSE 0 END AS z FROM v JOIN documents USING (doc_id)
+      UNION ALL SELECT doc_id, length(text), NULL, NULL FROM documents WHERE text IS NOT NULL),
+y AS (SELECT doc_id, s, e, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY s, e NULLS LAST), 0) AS begin FROM x),
+o AS (SELECT y.doc_id, count(e) AS n_removed, string_agg(y.s || '-' || e, ',' ORDER BY y.s, e) FILTER (e IS NOT NULL) AS removed, string_agg(substr(text, begin + 1, y.s - begin), '' ORDER BY y.s, e NULLS LAST) AS text FROM y JOIN documents USING (doc_id) GROUP BY y.doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed, o.text FROM documents d LEFT JOIN o USING (doc_id)
 """

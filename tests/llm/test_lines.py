@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+import random
 import re
 
 from aerolith.llm import line_dedup, line_frequency
@@ -50,27 +52,48 @@ def test_main_path_is_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def brute_dedup(rows, n=5):
+def pieces(t):
+    """(start, end, normalised words) of the units, from the rule as the docstring has it."""
+    at = 0
+    for line in (t or "").split("\n"):
+        sentence = []
+        words = [(m.start() + at, m.end() + at, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m.group())) for m in WORDS.finditer(line)]
+        for k, w in enumerate(words):
+            sentence.append(w)
+            if k == len(words) - 1 or re.search("[.!?。！？][\"')\\]’”»]*$", w[2]):
+                h = [int(hashlib.md5(x[2].encode()).hexdigest()[:7], 16) for x in sentence]
+                p = [(a * 1000003 + b) % 1073741789 for a, b in zip(h, h[1:])]
+                first = 0
+                for i in range(len(p)):
+                    if len(sentence) > 15 and all(p[i] < x for x in p[max(0, i - 5) : i]) and all(p[i] <= x for x in p[i + 1 : i + 6]):
+                        yield sentence[first][0], sentence[i][1], tuple(x[2] for x in sentence[first : i + 1])
+                        first = i + 1
+                yield sentence[first][0], sentence[-1][1], tuple(x[2] for x in sentence[first:])
+                sentence = []
+        at += len(line) + 1
+
+
+def brute_dedup(rows, floor=20):
     seen = {}
     for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        at = 0
-        for line in (t or "").split("\n"):
-            w = tuple(WORDS.findall(line.lower()))
-            if len(w) >= n:
-                seen.setdefault(w, (i, at))
-            at += len(line) + 1
+        for s, _, w in pieces(t):
+            seen.setdefault(w, (i, s))
     out = []
     for i, t, _ in rows:
-        at, gone, left = 0, [], ""
-        lines = (t or "").split("\n")
-        for k, line in enumerate(lines):
-            w = tuple(WORDS.findall(line.lower()))
-            if len(w) >= n and seen[w] != (i, at):
-                gone.append(f"{at}-{at + len(line)}")
+        spans, run = [], []
+        for s, e, w in [*pieces(t), (0, 0, None)]:
+            if w is not None and seen[w] != (i, s):
+                run.append((s, e, w))
             else:
-                left += line + "\n" * (k < len(lines) - 1)
-            at += len(line) + 1
-        out.append((i, len(gone), ",".join(gone), None if t is None else left))
+                run = [u for u in run if len(u[2]) >= 5]
+                if sum(len(w) for *_, w in run) >= floor:
+                    spans.append((run[0][0], run[-1][1]))
+                run = []
+        left = t
+        for s, e in reversed(spans):
+            own_line = s == 0 or t[s - 1] == "\n"
+            left = left[:s] + left[e + (t[e : e + 1] == " " or (own_line and t[e : e + 1] == "\n")) :]
+        out.append((i, len(spans), ",".join(f"{s}-{e}" for s, e in spans), left))
     return sorted(out, key=str)
 
 
@@ -80,9 +103,32 @@ def test_dedup_equals_brute_force(spark):
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_passages_inside_longer_lines(spark):
+    """Passages of over 50 words are cut out of one-line texts, long ones too; a common line
+    and texts of chance words stay."""
+    rng = random.Random(7)
+    text = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(900)}" + rng.choice(["", "", "", "", ".", "!"]) * (n > 70) for _ in range(n))
+    passages = [text(60) for _ in range(6)]
+    rows = [(i, f"{text(rng.choice([5, 80, 300]))} {passages[i % 6]} {text(rng.choice([3, 90]))}", "s") for i in range(60)]
+    rows += [(100 + i, f"A common line of this site.\n{text(200)}", "s") for i in range(40)]
+    rows += [(200, f"{text(20_000)} {passages[0]} {text(5_000)}", "s"), (201, " ".join(["and"] * 30_000), "s"), (202, " \n" * 5_000 + passages[1], "s")]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = line_dedup.dedup(df).collect()
+    assert sorted(map(tuple, line_dedup.digest(line_dedup.dedup(df)).collect()), key=str) == brute_dedup(rows)
+    lost = {r.doc_id for r in got if r.n_removed}
+    assert lost == set(range(6, 60)) | {200, 202}
+    whole = dict((r[0], r[1]) for r in rows)
+    for r in got:
+        if r.n_removed:
+            gone = " ".join(whole[r.doc_id][x.start : x.end] for x in r.removed)
+            assert len(gone.split()) >= 20 and gone in passages[0 if r.doc_id == 200 else 1 if r.doc_id == 202 else r.doc_id % 6]
+
+
 def test_paragraphs_and_the_joined_path(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "PLANNED_ROWS", 0)
-    p = "one two three\nfour five six"
-    df = spark.createDataFrame([(1, f"{p}\n\nown text"), (2, f"x\n\nOne two  three\nfour five six\n\ny")], "doc_id long, text string")
+    p = "one two three\nfour five six" + " and more" * 10
+    df = spark.createDataFrame([(1, f"{p}\n\nown text"), (2, f"x\n\nOne two  three\nfour five six{' and more' * 10}\n\ny")], "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.dedup(df, kind="paragraph").collect()}
+    whole = line_dedup.dedup(df, min_words=3, kind="line").collect()
+    assert {r.doc_id: r.n_removed for r in whole} == {1: 0, 2: 1}
     assert got == {1: (0, f"{p}\n\nown text"), 2: (1, "x\n\n\ny")}
