@@ -54,23 +54,30 @@ def test_main_path_is_native(spark):
 
 def pieces(t):
     """(start, end, normalised words) of the units, from the rule as the docstring has it."""
-    at = 0
+    at, sentences = 0, []
     for line in (t or "").split("\n"):
-        sentence = []
-        words = [(m.start() + at, m.end() + at, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m.group())) for m in WORDS.finditer(line)]
-        for k, w in enumerate(words):
-            sentence.append(w)
-            if k == len(words) - 1 or re.search("[.!?。！？][\"')\\]’”»]*$", w[2]):
-                h = [int(hashlib.md5(x[2].encode()).hexdigest()[:7], 16) for x in sentence]
-                p = [(a * 1000003 + b) % 1073741789 for a, b in zip(h, h[1:])]
-                first = 0
-                for i in range(len(p)):
-                    if len(sentence) > 15 and all(p[i] < x for x in p[max(0, i - 5) : i]) and all(p[i] <= x for x in p[i + 1 : i + 6]):
-                        yield sentence[first][0], sentence[i][1], tuple(x[2] for x in sentence[first : i + 1])
-                        first = i + 1
-                yield sentence[first][0], sentence[-1][1], tuple(x[2] for x in sentence[first:])
-                sentence = []
+        done = True
+        for m in WORDS.finditer(line):
+            if done:
+                sentences.append([])
+            sentences[-1].append((m.start() + at, m.end() + at, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m.group())))
+            done = re.search("[.!?。！？][\"')\\]’”»]*$", m.group())
         at += len(line) + 1
+    joined = []
+    for x in sentences:
+        if joined and len(x) < 5:
+            joined[-1] += x
+        else:
+            joined.append(list(x))
+    for x in joined:
+        h = [int(hashlib.md5(w[2].encode()).hexdigest()[:7], 16) for w in x]
+        p = [(a * 1000003 + b) % 1073741789 for a, b in zip(h, h[1:])]
+        first = 0
+        for i in range(len(p)):
+            if len(x) > 15 and 4 <= i < len(x) - 5 and all(p[i] < y for y in p[max(0, i - 5) : i]) and all(p[i] <= y for y in p[i + 1 : i + 6]):
+                yield x[first][0], x[i][1], tuple(w[2] for w in x[first : i + 1])
+                first = i + 1
+        yield x[first][0], x[-1][1], tuple(w[2] for w in x[first:])
 
 
 def brute_dedup(rows, floor=20):
@@ -82,10 +89,9 @@ def brute_dedup(rows, floor=20):
     for i, t, _ in rows:
         spans, run = [], []
         for s, e, w in [*pieces(t), (0, 0, None)]:
-            if w is not None and seen[w] != (i, s):
+            if w is not None and len(w) >= 5 and seen[w] != (i, s):
                 run.append((s, e, w))
             else:
-                run = [u for u in run if len(u[2]) >= 5]
                 if sum(len(w) for *_, w in run) >= floor:
                     spans.append((run[0][0], run[-1][1]))
                 run = []
