@@ -7,7 +7,7 @@ every document, and whoever has the key can undo them.
 
     card      13 to 19 digits with a right Luhn digit; new digits, new Luhn digit
     ssn       ddd-dd-dddd within the allocated ranges
-    phone     +country, area and number; all digits after the country code
+    phone     country code kept, all digits after it, whatever separates them
     ipv4      four octets
     date      a day from 1900 to 2099 as y-m-d, d.m.y or m/d/y; another such day
     iban      right check digits; country kept, new account, new check digits
@@ -16,7 +16,9 @@ every document, and whoever has the key can undo them.
 
 Defined cases: a null text stays null without findings; values that fail validation stay;
 values that overlap are taken from the left, longest format first; a value with only one
-form in its format stays what it is. Only the named columns are read.
+form in its format stays what it is; texts of any length are searched whole; ids are
+integers. `pseudonymise` reads the named columns only; `replace` takes `text` and, where it
+is there, `n_chars`, and leaves all other columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -116,13 +118,21 @@ def _ssn(value: str, move: Move) -> str | None:
     return f"{at + 1 + (at >= 665):03d}-{x // 9999 + 1:02d}-{x % 9999 + 1:04d}"
 
 
+#: The country codes of two digits; 1 and 7 have one, all others three.
+_TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def _phone(value: str, move: Move) -> str | None:
-    code = re.match(r"\+\d{1,3}(?=[ .(-])|\+1|", value).group()
-    rest = value[len(code) :]
-    d = _digits(rest)
-    if not 7 <= len(d) <= 12:
+    d = _digits(value)
+    code = ""
+    if value.startswith("+"):
+        code = d[0] if d[0] in "17" else d[:2] if d[:2] in _TWO_DIGIT_CODES else d[:3]
+        if d[0] == "0" or len(d) > 15:
+            return None
+        d = d[len(code) :]
+    if not 7 <= len(d) <= 13:
         return None
-    return code + _filled(rest, str(move(int(d), 10 ** len(d), f"phone{len(d)}")).zfill(len(d)))
+    return _filled(value, code + str(move(int(d), 10 ** len(d), f"phone{len(d)}")).zfill(len(d)))
 
 
 def _ipv4(value: str, move: Move) -> str | None:
@@ -200,24 +210,42 @@ def _secret(value: str, move: Move) -> str | None:
 _NUMBERS = (
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", _iban),
     ("phone", r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)", _phone),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\w)", _phone),
+    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\w)", _phone),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
     ("date", r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-])", _date),
     ("ipv4", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _ipv4),
     ("phone", r"(?<![\w-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-])", _phone),
-    ("card", r"(?<![\w-])(?:\d{4}[ -]){3}\d{1,7}(?![\w-])|(?<!\w)\d{13,19}(?!\w)", _card),
+    ("card", r"(?<![\w-])(?:\d{4}[ -]){3}\d{1,7}(?![\w-])|(?<![\w-])\d{4}[ -]\d{6}[ -]\d{4,5}(?![\w-])|(?<!\w)\d{13,19}(?!\w)", _card),
 )
 _MAKERS = {f"k{i}": (kind, make) for i, (kind, _, make) in enumerate(_NUMBERS)}
 _NUMBER = re.compile("|".join(f"(?P<k{i}>{form})" for i, (_, form, _) in enumerate(_NUMBERS)))
 #: Every form has a run of digits, or begins as an IBAN does (its bank code may be letters,
 #: far from the first run); only the words beside one are looked at closely.
 _NEAR_DIGITS = re.compile(r"\d[\d.:/()+ -]{5,}|\d{4}[A-Z0-9 ]{6,}|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2}")
-_LOCAL = re.compile(r"[A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?\Z")
+#: No form of a number is longer: an IBAN of 34 signs has 8 spaces, a card 19 digits, a
+#: phone 15 digits with a separator and brackets at most at each group.
+LONGEST = 64
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
-_NAMED = re.compile(r"(?:token|password|passwd|secret|api[_-]?key|access[_-]?key)[\"']?\s*\Z", re.I)
+_NAMES = ("token", "password", "passwd", "secret", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key")
 _VALUE = re.compile(r"\s*[\"']?([A-Za-z0-9_+/~.-]{6,}[A-Za-z0-9_+/~=-])")
 
 
+def _back(text: str, at: int, signs) -> int:
+    """Where the run of `signs` that ends at `at` begins."""
+    while at and text[at - 1] in signs:
+        at -= 1
+    return at
+
+
+def _named(text: str, at: int) -> bool:
+    """Whether the sign at `at` follows the name of a secret."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    at -= text[at - 1 : at] in ("'", '"')
+    return text[max(0, at - 10) : at].lower().endswith(_NAMES)
+
+
 def _SAME(x: int, n: int, what: str) -> int:  # noqa: N802, ARG001
     """The move that moves nothing: makers then only validate."""
     return x
@@ -227,20 +255,24 @@ def _candidates(text: str):
     """(start, end, kind, maker) of what may be a value, in any order."""
     at = text.find("@")
     while at >= 0:
-        local, domain = _LOCAL.search(text[max(0, at - 64) : at]), _DOMAIN.match(text, at + 1)
-        if local and domain:
-            yield at - len(local.group()), domain.end(), "email", _email
+        domain = _DOMAIN.match(text, at + 1)
+        if domain and text[at - 1 : at] != ".":
+            first = _back(text, at, _LOCAL)
+            while first < at and text[first] == ".":
+                first += 1
+            if first < at:
+                yield first, domain.end(), "email", _email
         at = text.find("@", at + 1)
     for sign in "=:":
         at = text.find(sign)
         while at >= 0:
-            if _NAMED.search(text[max(0, at - 24) : at]) and (value := _VALUE.match(text, at + 1)):
+            if _named(text, at) and (value := _VALUE.match(text, at + 1)):
                 yield value.start(1), value.end(1), "secret", _secret
             at = text.find(sign, at + 1)
     done = 0
     for near in _NEAR_DIGITS.finditer(text):
-        lo = max(done, near.start() - 8)
-        hi = min(len(text), near.end() + 64)
+        lo = max(done, near.start() - LONGEST)
+        hi = min(len(text), near.end() + LONGEST)
         while hi < len(text) and text[hi].isalnum():
             hi += 1
         # a form that fails validation may hide one that begins within it
@@ -289,6 +321,17 @@ def pseudonymise(documents: DataFrame, key: bytes, doc_id: str = "doc_id", text:
     return docs.mapInArrow(common.lean(run), "doc_id long, n_found long, found array<struct<start:int,end:int,kind:string>>, text string")
 
 
+#: A session names the secret here; the name keeps it out of the event log.
+KEY_SETTING = "spark.aerolith.pseudonym.secret"
+EXAMPLE_KEY = b"aerolith example key"
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The session's secret, or a published example key that protects nobody."""
+    given = spark.conf.get(KEY_SETTING, None)
+    return given.encode() if given else EXAMPLE_KEY
+
+
 def replace(documents: DataFrame, key: bytes) -> DataFrame:
     """`documents` with pseudonyms in text and n_chars counted anew; columns and rows stay."""
     common.text_batches(documents.sparkSession)

@@ -7,10 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common, decontaminate, line_dedup, line_frequency, near_dup, packing, pseudonyms, sstable, toxicity, url_filter, warc
 
 
-#: For the queries; a user gives a secret of their own.
-PSEUDONYM_KEY = b"aerolith example key"
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,7 +27,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    return pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"), pseudonyms.key_of(spark))
 
 
 def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

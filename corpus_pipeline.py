@@ -29,8 +29,9 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal numbers, dates, addresses and secrets become keyed pseudonyms."""
-    return pseudonyms.replace(docs, queries.PSEUDONYM_KEY)
+    """Personal numbers, dates, addresses and secrets become pseudonyms, keyed by the
+    session's `spark.aerolith.pseudonym.secret`."""
+    return pseudonyms.replace(docs, pseudonyms.key_of(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 import re
 
 import pytest
@@ -80,3 +81,69 @@ def test_tables(spark):
     assert {r.n_chars for r in out.where("doc_id = 1").collect()} == {14}
     assert {r.n_chars for r in out.where("doc_id = 4").collect()} == {1}
     assert P.pseudonymise(df.limit(0), b"k").count() == 0
+
+
+@pytest.mark.parametrize("forms", [("+447911123456", "+44 7911 123456", "+44-7911-123456"), ("+4915112345679", "+49 1511 2345679"), ("+12125551234", "+1 (212) 555-1234"), ("+35312345678", "+353 1 234 5678")])
+def test_one_phone_number_has_one_pseudonym(forms):
+    made = []
+    for form in forms:
+        new, found = P.pseudonymised(f"call {form} now", MOVE)
+        assert [f[:3] for f in found] == [(5, 5 + len(form), "phone")]
+        made.append("".join(c for c in new if c.isdigit()))
+    code = forms[1][1:].split()[0]
+    assert len(set(made)) == 1 and made[0].startswith(code) and made[0] != "".join(c for c in forms[0] if c.isdigit())
+
+
+def test_grouped_american_express():
+    new, found = P.pseudonymised("card 3782 822463 10005.", MOVE)
+    assert found == [(5, 22, "card")] and P._luhn(P._digits(new)[:-1]) == int(new[-2])
+
+
+def test_long_names_are_no_limit():
+    local = "a.b" * 40 + "c"
+    new, found = P.pseudonymised(f"to {local}@mail.example.com", MOVE)
+    assert found == [(3, 3 + len(local) + 17, "email")] and local[:20] not in new
+    t = "password" + " " * 100 + "=" + " " * 100 + "a9ce335683f9"
+    assert [f[2] for f in P.pseudonymised(t, MOVE)[1]] == ["secret"]
+
+
+def plain_finder(t):
+    """Every value by trying each form at each place of the whole text, without windows."""
+    found, at = [], 0
+    while at < len(t):
+        tried = ((re.compile(form).match(t, at), kind, make) for kind, form, make in P._NUMBERS)
+        m, kind, make = next(((m, kind, make) for m, kind, make in tried if m), (None, None, None))
+        valid = m and make(m.group(), lambda x, n, what: x) is not None
+        if valid:
+            found.append((at, -m.end(), 0, kind))
+        at = m.end() if valid else at + 1
+    found += [(m.start(), -m.end(), 99, "email") for m in re.finditer(r"[A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", t)]
+    named = r"(?:token|password|passwd|secret|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_+/~.-]{6,}[A-Za-z0-9_+/~=-])"
+    found += [(m.start(1), -m.end(1), 98, "secret") for m in re.finditer(named, t, re.I)]
+    out, at = [], 0
+    for s, e, _, kind in sorted(found):
+        if s >= at:
+            out.append((s, -e, kind))
+            at = -e
+    return out
+
+
+def test_finds_what_a_plain_finder_finds():
+    rng = random.Random(4)
+    values = ["4111 1111 1111 1111", "4111111111111111", "3782 822463 10005", "+1 (017) 555-7713", "+447911123456", "(212) 555-1234", "123-45-6789", "97.51.17.173", "1990-02-28", "02/28/1990", "GB29 NWBK 6016 1331 9268 19", "DE89370400440532013000", "jo.doe42@mail.example.com", "api_key: 'a9ce335683f9'", "1990-02-30", "4111111111111112", "2024", "v1.2.3.4.5", "THE NUMBER", "word", "- 7", "x=1", "99 88 77"]
+    seen = 0
+    for _ in range(400):
+        t = "".join(rng.choice(values) + rng.choice([" ", " ", "\n", ", ", " word " * 20, "; "]) for _ in range(rng.randint(1, 30)))
+        want = plain_finder(t)
+        assert P.pseudonymised(t, MOVE)[1] == want
+        seen += len(want)
+    assert seen > 2000
+
+
+def test_the_key_is_the_sessions(spark):
+    assert P.key_of(spark) == P.EXAMPLE_KEY
+    spark.conf.set(P.KEY_SETTING, "mine")
+    try:
+        assert P.key_of(spark) == b"mine"
+    finally:
+        spark.conf.unset(P.KEY_SETTING)
