@@ -4,12 +4,13 @@ Base rules come from each whole text. Lines are normalised (lower case, white sp
 collapsed and trimmed) and hashed; a line found in more than `max_docs` distinct documents
 of one host is boilerplate there and goes. A document that passes the base rules is
 rejected as depleted when boilerplate holds more than `max_share` percent of its word
-characters. Documents of one host and one text count once, so exact copies, which are
-another operator's work, don't make each other's lines boilerplate.
+characters. Rows of one id are one document; lines are cut and hashed once, into a written
+table without texts that both steps read.
 
 Defined cases: a null or blank text has no words and fails the base rules; a null host is
-a host of its own; repeated rows give a row each, with equal results; only the named
-columns are read, so others may have any name.
+a host of its own; rows with a null id are one document where host and text are equal;
+repeated rows give a row each, with equal results; only the named columns are read, so
+others may have any name.
 """
 
 from __future__ import annotations
@@ -74,15 +75,17 @@ def line_rows(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def boilerplate(lines: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """Lines of a host in more than `max_docs` of its distinct texts. The first step counts
-    by host, line and text, so a line that fills a host is spread before it is summed."""
-    once = lines.groupBy("host", "line_hash", "row_hash").agg(F.lit(1).alias("one"))
+    """Lines of a host in more than `max_docs` of its distinct documents. The first step
+    counts by host, line and document, so a line that fills a host is spread before it is
+    summed."""
+    unknown = F.when(F.col("doc_id").isNull(), F.col("row_hash")).alias("unknown")
+    once = lines.groupBy("host", "line_hash", "doc_id", unknown).agg(F.lit(1).alias("one"))
     return once.groupBy("host", "line_hash").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
 
 
 def judge(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT_PERCENT, max_docs: int = MAX_DOCS, max_share: int = MAX_SHARE_PERCENT) -> DataFrame:
     """Base counts, boilerplate characters and the verdict of every row."""
-    lines = line_rows(documents, doc_id, text, host)
+    lines, _ = common.saved(line_rows(documents, doc_id, text, host), "lines")
     frequent, _ = common.saved(boilerplate(lines, max_docs).select(F.col("host").alias("b_host"), F.col("line_hash").alias("b_hash")), "boilerplate")
     hit = lines.join(frequent, F.col("host").eqNullSafe(F.col("b_host")) & (F.col("line_hash") == F.col("b_hash")), "left_semi")
     once = hit.groupBy("doc_id", "row_hash", "place").agg(F.max("chars").alias("chars"))
@@ -108,7 +111,7 @@ def judge(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", host
 def kept_text(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
     """doc_id, row_hash and the text without its host's boilerplate lines, of each row that
     has any. A document's own lines are gathered, never those of a host."""
-    lines = line_rows(documents, doc_id, text, host)
+    lines, _ = common.saved(line_rows(documents, doc_id, text, host), "lines")
     frequent, _ = common.saved(boilerplate(lines, max_docs).select(F.col("host").alias("b_host"), F.col("line_hash").alias("b_hash")), "boilerplate")
     hit = lines.join(frequent, F.col("host").eqNullSafe(F.col("b_host")) & (F.col("line_hash") == F.col("b_hash")), "left_semi")
     places = hit.groupBy(F.col("doc_id").alias("l_id"), F.col("row_hash").alias("l_hash")).agg(F.collect_set("place").alias("gone"))
@@ -123,8 +126,8 @@ w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 g AS (SELECT doc_id, u.i AS i, w[u.i] || ' ' || w[u.i + 1] || ' ' || w[u.i + 2] AS t FROM w, unnest(range(1, len(w) - 1)) AS u(i)),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, t) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
-n AS (SELECT doc_id, host, text, trim(regexp_replace(u.x, '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM w, unnest(l) AS u(x)),
-f AS (SELECT host, lower(line) AS line FROM n GROUP BY ALL HAVING count(DISTINCT text) > 10),
+n AS (SELECT doc_id, host, trim(regexp_replace(u.x, '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM w, unnest(l) AS u(x)),
+f AS (SELECT host, lower(line) AS line FROM n GROUP BY ALL HAVING count(DISTINCT doc_id) > 10),
 b AS (SELECT doc_id, sum(length(replace(n.line, ' ', ''))) AS c, count(*) AS k FROM n JOIN f ON n.host IS NOT DISTINCT FROM f.host AND lower(n.line) = f.line GROUP BY doc_id),
 s AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(list_aggregate(w || [''], 'string_agg', ''))::BIGINT AS word_chars,
         (length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,

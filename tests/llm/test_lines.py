@@ -40,7 +40,8 @@ def test_base_counts_and_verdicts(spark):
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
     kept = {r.doc_id: r.kept for r in got}
     assert all(kept[i] for i in range(30)) and not any(kept[100 + i] for i in range(15))  # depleted
-    assert all(kept[300 + i] for i in range(40)) and kept[204]  # copies of a text count once
+    assert not any(kept[300 + i] for i in range(40)) and kept[204]  # each id is a document
+    assert not any(r.n_boilerplate_lines for r in got if r.doc_id in (204, None))  # repeated rows are one
     text = {r.doc_id: r.text for r in line_frequency.kept_text(df).collect()}
     assert text[0] == f"{LONG} 0\n" and text[100] == "own 0"
     assert line_frequency.judge(df.limit(0)).count() == 0
