@@ -8,8 +8,8 @@ overlapping places merged into removal spans. Documents are never shuffled.
 
 Defined cases: a null or word-less text has no words, no hits and stays; null or word-less
 items hold no phrase; items with a null id are removed from texts but not listed; rows of
-one item id count as one item; repeated document rows give a row each; only the named
-columns are read, so others may have any name.
+one item id count as one item; repeated document rows give a row each; document ids are
+integers; only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from .fm_index import FMIndex
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
-#: Phrases are sent to the executors in groups of at most so many bytes of item text.
+#: Phrases are sent to the executors in groups of at most so many bytes of item text, which
+#: make tables of some 300 MB. The result does not depend on it.
 GROUP_BYTES = 32 << 20
 
 SCHEMA = "doc_id long, row_hash long, n_words long, hits array<struct<start:int,end:int>>, items array<string>"
@@ -42,20 +43,44 @@ class Phrases:
         hashed = words.hashes(data, start, end)
         self.alphabet, first, symbol = np.unique(hashed, return_index=True, return_inverse=True)
         self.words = [raw[start[i] : end[i]] for i in first]
-        owner = np.searchsorted(begins, start, "right") - 1
-        found: dict[tuple[int, ...], set] = {}
-        for i in np.unique(owner):
-            s = symbol[owner == i] + 1
-            for k in range(max(1, len(s) - window + 1)):
-                found.setdefault(tuple(s[k : k + window].tolist()), set()).add(ids[i])
-        keys = sorted(found)
-        self.lengths = np.array([len(k) for k in keys], np.int64)
-        self.rows = np.zeros((len(keys), window), np.int64)
-        for i, k in enumerate(keys):
-            self.rows[i, : len(k)] = k
-        self.owners = [sorted(str(x) for x in found[k] if x is not None) for k in keys]
+        self.ids = sorted({str(x) for x in ids if x is not None})
+        self._windows(symbol.astype(np.int32) + 1, np.searchsorted(start, begins), ids, window)
         self.shortest = int(self.lengths.min(initial=window))
 
+    def _windows(self, symbol: np.ndarray, bounds: np.ndarray, ids: list, window: int) -> None:
+        """Distinct windows as rows of symbols, with the places in `ids` of their items."""
+        n = np.diff(bounds)
+        many = np.where(n > 0, np.maximum(1, n - window + 1), 0)
+        item = np.repeat(np.arange(len(n)), many)
+        begin = bounds[item] + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+        length = np.minimum(window, n[item])
+
+        def column(of: np.ndarray, k: int) -> np.ndarray:
+            return np.where(length[of] > k, symbol[np.minimum(begin[of] + k, len(symbol) - 1)], 0) if len(of) else np.zeros(0, np.int32)
+
+        every = np.arange(len(item))
+        hashed = np.zeros(len(item), np.uint64)
+        for k in range(window):
+            hashed = words.mixed(hashed + column(every, k).astype(np.uint64))
+        order = np.argsort(hashed, kind="stable")
+        # equal windows are neighbours now; a hash alone makes none equal
+        new = np.append(True, hashed[order[1:]] != hashed[order[:-1]])[: len(order)]
+        for k in range(window):
+            c = column(order, k)
+            new[1:] |= c[1:] != c[:-1]
+        first = order[new]
+        self.lengths = length[first]
+        self.rows = np.stack([column(first, k) for k in range(window)], 1)
+        at = {x: i for i, x in enumerate(self.ids)}
+        owner = np.array([at[str(x)] if x is not None else -1 for x in ids], np.int64)[item[order]]
+        pairs = np.unique(np.stack([np.cumsum(new) - 1, owner])[:, owner >= 0], axis=1)
+        self._owner = pairs[1].astype(np.int32)
+        self._owner_begin = np.searchsorted(pairs[0], np.arange(len(first) + 1))
+
+    def owners(self, phrase: int) -> list[str]:
+        """Ids of the items that hold a phrase."""
+        return [self.ids[i] for i in self._owner[self._owner_begin[phrase] : self._owner_begin[phrase + 1]].tolist()]
+
     def symbols(self, hashed: np.ndarray) -> np.ndarray:
         if not len(self.alphabet):
             return np.zeros(len(hashed), np.int64)
@@ -113,7 +138,7 @@ class Found:
             # exact check: a hash is not a word
             if all(raw[self.start[w] : self.end[w]] == phrases.words[text_symbol - 1] for w, text_symbol in zip(range(a, b), phrases.rows[p].tolist(), strict=False)):
                 self.hits.setdefault(d, []).append((a, b))
-                self.items.setdefault(d, set()).update(phrases.owners[p])
+                self.items.setdefault(d, set()).update(phrases.owners(p))
 
     def spans(self, d: int) -> list[tuple[int, int]]:
         """Merged word spans of a document, counted from its first word."""
@@ -198,6 +223,15 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+def _cut(raw: bytes, start: np.ndarray, end: np.ndarray, spans: list[tuple[int, int]]) -> bytes:
+    """`raw` without spans of its words, which stand at [start, end)."""
+    parts, at = [], 0
+    for a, b in spans:
+        parts.append(raw[at : start[a]])
+        at = int(end[b - 1])
+    return b"".join([*parts, raw[at:]])
+
+
 def cleaned_text(texts: list[str | None], phrases: Phrases) -> list[str | None]:
     """Texts without their hit spans, searched again until nothing is hit: what a removal
     brings together may hold a phrase too. Untouched texts come back as they are."""
@@ -207,44 +241,77 @@ def cleaned_text(texts: list[str | None], phrases: Phrases) -> list[str | None]:
         found = Found([out[i] for i in todo], phrases)
         again = []
         for d in sorted(found.hits):
-            base, first = int(found.begins[d]), int(found.first[d])
-            raw, parts, at = found.data[base : found.begins[d + 1] - 1].tobytes(), [], 0
-            for a, b in found.spans(d):
-                parts.append(raw[at : found.start[first + a] - base])
-                at = int(found.end[first + b - 1]) - base
-            out[todo[d]] = b"".join([*parts, raw[at:]]).decode()
+            base, of = int(found.begins[d]), slice(int(found.first[d]), int(found.first[d + 1]))
+            raw = found.data[base : found.begins[d + 1] - 1].tobytes()
+            out[todo[d]] = _cut(raw, found.start[of] - base, found.end[of] - base, found.spans(d)).decode()
             again.append(todo[d])
         todo = again
     return out
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def _with_texts(shard: pa.Table, new: list[str | None], text: str) -> pa.Table:
+    """`shard` with changed texts, n_chars counted anew, without texts that lost all words."""
+    old = _column(shard, text)
+    changed = [a != b for a, b in zip(old, new, strict=True)]
+    if not any(changed):
+        return shard
+    keep = pa.array([not c or bool(words.spans(np.frombuffer(b.encode(), np.uint8), words.ALNUM)[0].size) for c, b in zip(changed, new, strict=True)])
+    at = shard.schema.get_field_index(text)
+    shard = shard.set_column(at, shard.schema.field(at), pa.array(new, shard.schema.field(at).type))
+    if "n_chars" in shard.schema.names:
+        at = shard.schema.get_field_index("n_chars")
+        old_n = _column(shard, "n_chars")
+        shard = shard.set_column(at, shard.schema.field(at), pa.array([len(b) if c else n for c, b, n in zip(changed, new, old_n, strict=True)], shard.schema.field(at).type))
+    return shard.filter(keep)
+
+
+def _cleaned_once(documents: DataFrame, hits: DataFrame) -> DataFrame:
+    """`documents` without the word spans of `hits`, which has a row per id and text."""
+    own = F.struct(F.col("doc_id").cast("long").alias("i"), F.xxhash64(F.col("text")).alias("h"))
+    joined = documents.withColumn("__of", own).join(hits, F.col("__of").eqNullSafe(F.col("__key")), "left").drop("__of", "__key")
+
+    def run(batches):
+        for shard in common.rows_of(batches, SHARD_BYTES):
+            spans = _column(shard, "__hits")
+            shard = shard.drop_columns(["__hits"])
+            new = _column(shard, "text")
+            for i, own_spans in enumerate(spans):
+                if own_spans:
+                    data = np.frombuffer(new[i].encode(), np.uint8)
+                    new[i] = _cut(data.tobytes(), *words.spans(data, words.ALNUM), [(x["start"], x["end"]) for x in own_spans]).decode()
+            yield from _with_texts(shard, new, "text").combine_chunks().to_batches()
+
+    return joined.select(*documents.columns, "__hits").mapInArrow(common.lean(run), documents.schema)
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = GROUP_BYTES) -> DataFrame:
     """`documents` without benchmark passages, n_chars counted anew; a document of which no
-    word is left goes. Columns and all other rows stay as they are."""
+    word is left goes. All passages found in a text are cut at once, and what is left is
+    searched again until nothing is found: what a cut brings together may be a passage too.
+    A benchmark above `limit` bytes is searched group by group, with the same result.
+
+    Reads doc_id (integers), text and, where it is there, n_chars; other columns and all
+    other rows stay as they are. No column may be named __of, __key or __hits. Null and
+    word-less texts stay; equal rows fare alike; an empty benchmark changes nothing."""
     spark = documents.sparkSession
     common.text_batches(spark)
-    out = documents
-    for phrases in phrase_groups(benchmark, window):
-        sent = spark.sparkContext.broadcast(phrases)
-
-        def run(batches, sent=sent):
-            for shard in common.rows_of(batches, SHARD_BYTES):
-                old = _column(shard, "text")
-                new = cleaned_text(old, sent.value)
-                changed = [a is not b for a, b in zip(old, new, strict=True)]
-                if any(changed):
-                    keep = pa.array([not c or bool(words.spans(np.frombuffer(b.encode(), np.uint8), words.ALNUM)[0].size) for c, b in zip(changed, new, strict=True)])
-                    at = shard.schema.get_field_index("text")
-                    shard = shard.set_column(at, shard.schema.field(at), pa.array(new, shard.schema.field(at).type))
-                    if "n_chars" in shard.schema.names:
-                        at = shard.schema.get_field_index("n_chars")
-                        old_n = _column(shard, "n_chars")
-                        shard = shard.set_column(at, shard.schema.field(at), pa.array([len(b) if c else n for c, b, n in zip(changed, new, old_n, strict=True)], shard.schema.field(at).type))
-                    shard = shard.filter(keep)
-                yield from shard.combine_chunks().to_batches()
-
-        out = out.mapInArrow(common.lean(run), documents.schema)
-    return out
+    groups = list(phrase_groups(benchmark, window, limit=limit))
+    if len(groups) > 1:
+        out = documents
+        while True:
+            found = find(out, benchmark, window, limit=limit).where(F.size("hits") > 0)
+            key = F.struct(F.col("doc_id").alias("i"), F.col("row_hash").alias("h")).alias("__key")
+            hits, _ = common.saved(found.select(key, F.col("hits").alias("__hits")).dropDuplicates(["__key"]), "hits")
+            if hits.isEmpty():
+                return out
+            out, _ = common.saved(_cleaned_once(out, hits), "cleaned")
+    sent = spark.sparkContext.broadcast(groups[0])
+
+    def run(batches):
+        for shard in common.rows_of(batches, SHARD_BYTES):
+            yield from _with_texts(shard, cleaned_text(_column(shard, "text"), sent.value), "text").combine_chunks().to_batches()
+
+    return documents.mapInArrow(common.lean(run), documents.schema)
 
 
 ORACLE_SQL = r"""

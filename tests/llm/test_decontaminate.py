@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -77,11 +78,12 @@ def test_find_equals_brute_force(spark, case, limit):
     assert sorted(map(tuple, found.collect()), key=key) == sorted([(k, *brute(t, items)) for k, t in docs], key=key)
 
 
-def test_clean_removes_only_passages(spark, case):
+@pytest.mark.parametrize("limit", [D.GROUP_BYTES, 60])
+def test_clean_removes_only_passages(spark, case, limit):
     items, docs = case
     schema = "doc_id long, text string, lang string, n_chars long"
     df = spark.createDataFrame([(k, t, "en", None if t is None else len(t)) for k, t in docs], schema)
-    out = D.clean(df, spark.createDataFrame(items, "item_id long, text string"))
+    out = D.clean(df, spark.createDataFrame(items, "item_id long, text string"), limit=limit)
     assert out.columns == df.columns
     got = {r.doc_id: r for r in out.collect()}
     for k, t in docs:
@@ -92,6 +94,33 @@ def test_clean_removes_only_passages(spark, case):
             assert not brute(got[k].text, items)[4] and WORD.findall(lower(got[k].text)) and got[k].n_chars == len(got[k].text)
 
 
+@pytest.mark.parametrize("limit", [D.GROUP_BYTES, 1])
+def test_clean_searches_again_across_groups(spark, limit):
+    """A cut for one group brings a phrase of another together: it goes too."""
+    a, b = " ".join(f"a{i}" for i in range(1, 11)), " ".join(f"b{i}" for i in range(1, 11))
+    halves = a[: a.index("a6")], a[a.index("a6") :]
+    text = f"x {halves[0]}{b} {halves[1]} y"
+    df = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (None, text, "z"), (2, b, "x"), (3, None, "x"), (4, "clean", "x")], "doc_id long, text string, items string")
+    got = D.clean(df, spark.createDataFrame([(1, a), (2, b)], "item_id long, text string"), limit=limit).collect()
+    assert sorted((str(r.doc_id), r.text and r.text.split(), r.items) for r in got) == [("1", ["x", "y"], "x")] * 2 + [("3", None, "x"), ("4", ["clean"], "x"), ("None", ["x", "y"], "z")]
+
+
+def test_large_benchmark_makes_a_bounded_table():
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rng.choices(words, k=200)) for _ in range(1000)]
+    texts += texts[:10]
+    tracemalloc.start()
+    p = D.Phrases([*range(1000), *range(2000, 2010)], texts, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = sum(map(len, texts))
+    assert peak < 32 * size + (8 << 20), peak / size
+    assert len(p.rows) == 1000 * 191 and len(p.owners(0)) in (1, 2)
+    both = [k for k in range(len(p.rows)) if len(p.owners(k)) == 2]
+    assert len(both) == 10 * 191 and all(abs(int(b) - int(a)) == 2000 for a, b in (p.owners(k) for k in both))
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.digest(D.find(docs, items)).count() == 0
