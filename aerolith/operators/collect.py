@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -19,9 +19,10 @@ def items(responses: DataFrame, window: str = "window") -> DataFrame:
     return lists
 
 
-def normalised(found: DataFrame, stations: DataFrame, mode: str = "history") -> tuple[DataFrame, DataFrame]:
-    """Raw records and rejects (station_id, window, error, raw_item) of parsed items. Nothing
-    a provider sends ends the job: what can't be read is rejected, with the reason."""
+def normalised(found: DataFrame, stations: DataFrame, mode: str = "history", fetched_at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Raw records and rejects (station_id, window, error, raw_item) of parsed items, fetched
+    now or at `fetched_at` (seconds). Nothing a provider sends ends the job: what can't be
+    read is rejected, with the reason."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     known = F.broadcast(stations.select(F.col("station_id").alias("known"), "city", "country", "lat", "lon"))  # hundreds of stations
@@ -58,6 +59,7 @@ def normalised(found: DataFrame, stations: DataFrame, mode: str = "history") ->
         dt.alias("dt_raw"),
         F.lit("openweathermap").alias("source"),
         F.lit(mode).alias("ingest_mode"),
+        scalars.iso_utc(F.unix_timestamp() if fetched_at is None else fetched_at).alias("fetched_at_utc"),
         index.alias("owm_aqi"),
         F.struct(*(v.try_cast("double").alias(c) for c, v in values.items())).alias("components"),
     )

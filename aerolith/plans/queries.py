@@ -6,6 +6,8 @@ Column builders, so that one's mistake is not the other's.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -200,9 +202,20 @@ def contiguity(spark, d):
     return clean.contiguity(_doubled(spark, d))
 
 
-@query(_sql(_R, "SELECT u.name, true AS passed, '0 rows' AS detail FROM (VALUES ('hours_aligned'), ('provider_index_range'), ('station_known'), ('no_nan')) AS u(name)"))
+@query(_sql(_R, """, b AS (SELECT ts_epoch + CASE WHEN (ts_epoch // 3600) % 5 = 0 THEN 60 ELSE 0 END AS ts_epoch, CASE WHEN (ts_epoch // 3600) % 7 = 0 THEN 6 ELSE owm_aqi END AS owm_aqi, CASE WHEN (ts_epoch // 3600) % 11 <> 0 THEN station_id END AS station_id, (ts_epoch // 3600) % 13 = 0 AS nan FROM r),
+k AS (SELECT 'hours_aligned' AS name, count(*) FILTER (ts_epoch % 3600 <> 0) AS n FROM b UNION ALL SELECT 'provider_index_range', count(*) FILTER (owm_aqi NOT BETWEEN 1 AND 5) FROM b
+UNION ALL SELECT 'station_known', count(*) FILTER (station_id IS NULL) FROM b UNION ALL SELECT 'no_nan', count(*) FILTER (nan) FROM b)
+SELECT name, n = 0 AS passed, n || ' rows' AS detail FROM k"""))
 def schema_checks(spark, d):
-    return clean.schema_checks(_readings(spark, d))
+    """Over readings some of which break each rule."""
+    hour = F.floor(F.col("ts_epoch") / 3600)
+    broken = {
+        "station_id": F.when(hour % 11 != 0, F.col("station_id")),
+        "owm_aqi": F.when(hour % 7 == 0, 6).otherwise(F.col("owm_aqi")),
+        "pm2_5": F.when(hour % 13 == 0, float("nan")).otherwise(F.col("pm2_5")),
+        "ts_epoch": F.col("ts_epoch") + F.when(hour % 5 == 0, 60).otherwise(0),
+    }
+    return clean.schema_checks(_readings(spark, d).withColumns(broken))
 
 
 @query(_sql(_I, """SELECT station_id, aqi_day, round(avg(pm2_5), 6) AS pm2_5_day_avg, round(avg(pm10), 6) AS pm10_day_avg, count(*) FILTER (pm2_5 IS NOT NULL OR pm10 IS NOT NULL) AS valid_hours,
@@ -216,11 +229,12 @@ def valid_day_ratio(spark, d):
     return clean.valid_day_ratio(_clean(spark, d))
 
 
-@query(_sql(_I, """SELECT station_id, ts_epoch, ts_utc, dt, aqi_day, round(avg(pm2_5) OVER w, 6) AS pm2_5_day_avg, CASE WHEN count(*) FILTER (pm2_5 IS NOT NULL OR pm10 IS NOT NULL) OVER w >= 18 THEN 'valid' ELSE 'insufficient_data' END AS day_qc_flag
+@query(_sql(_I, """SELECT station_id, ts_epoch, ts_utc, dt, aqi_day, pm2_5_qc, pm10_qc, o3_qc, no2_qc, so2_qc, co_qc, round(avg(pm2_5) OVER w + 1e-9, 6) AS pm2_5_day_avg, round(avg(pm10) OVER w + 1e-9, 6) AS pm10_day_avg, CASE WHEN count(*) FILTER (pm2_5 IS NOT NULL OR pm10 IS NOT NULL) OVER w >= 18 THEN 'valid' ELSE 'insufficient_data' END AS day_qc_flag
 FROM i WINDOW w AS (PARTITION BY station_id, aqi_day)""".replace("ts_utc,", "ts_utc::TIMESTAMPTZ AS ts_utc,").replace("ts_utc::TIMESTAMPTZ AS ts_utc,", "strftime(ts_utc, '%Y-%m-%dT%H:%M:%SZ') AS ts_utc,")))
 def clean_layer(spark, d):
-    out = _clean(spark, d).select("station_id", "ts_epoch", scalars.iso_utc(F.col("ts_epoch")).alias("ts_utc"), "dt", "aqi_day", "pm2_5_day_avg", "day_qc_flag")
-    return _rounded(out, "pm2_5_day_avg")
+    out = _clean(spark, d).select("station_id", "ts_epoch", scalars.iso_utc(F.col("ts_epoch")).alias("ts_utc"), "dt", "aqi_day", *(f"{p}_qc" for p in POLLUTANTS), "pm2_5_day_avg", "pm10_day_avg", "day_qc_flag")
+    # means of 24 values may end in half a unit, which the order of addition would decide
+    return _rounded(out.withColumns({c: F.col(c) + 1e-9 for c in ("pm2_5_day_avg", "pm10_day_avg")}), "pm2_5_day_avg", "pm10_day_avg")
 
 
 # --- indices ------------------------------------------------------------------------------
@@ -302,9 +316,12 @@ def worst_pollutant(spark, d):
     return aggregate.worst_pollutant(_facts(spark, d))
 
 
-@query(_sql(_D, "SELECT * FROM dw WHERE count_level_1 + count_level_2 + count_level_3 + count_level_4 + count_level_5 + count_level_6 <> n_hours"))
+@query(_sql(_D, """, p AS (SELECT * REPLACE (n_hours + CASE WHEN day(dt) % 3 = 0 THEN 1 ELSE 0 END AS n_hours) FROM dw)
+SELECT * FROM p WHERE count_level_1 + count_level_2 + count_level_3 + count_level_4 + count_level_5 + count_level_6 <> n_hours"""))
 def level_invariant(spark, d):
-    return aggregate.level_mismatch(aggregate.daily(_facts(spark, d)))
+    """Over days of which every third has an hour too many."""
+    days = aggregate.daily(_facts(spark, d))
+    return aggregate.level_mismatch(days.withColumn("n_hours", F.col("n_hours") + F.when(F.day("dt") % 3 == 0, 1).otherwise(0)))
 
 
 @query(_sql(_D, "SELECT * FROM rk"))
@@ -430,11 +447,11 @@ def station_codes(spark, d):
     return scalars.station_codes(_cities(spark, d).withColumnRenamed("name", "city")).select("k", "station_id")
 
 
-@query("SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'Da Nang' WHEN 1 THEN 'Hai Duong' ELSE 'Sao Paulo' END AS folded FROM orders WHERE o_orderkey % 100 < 3")
+@query("SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'Da Nang' WHEN 1 THEN 'Hai Duong' ELSE 'Sao Paulo' END || ' ' || o_orderpriority AS folded FROM orders")
 def ascii_folding(spark, d):
     k = F.col("o_orderkey")
     text = F.when(k % 3 == 0, "Đà Nẵng").when(k % 3 == 1, "Hải Dương").otherwise("São Paulo")
-    return spark.read.parquet(f"{d}/orders.parquet").where(k % 100 < 3).select(k.alias("k"), scalars.ascii_fold(text).alias("folded"))
+    return spark.read.parquet(f"{d}/orders.parquet").select(k.alias("k"), scalars.ascii_fold(F.concat_ws(" ", text, "o_orderpriority")).alias("folded"))
 
 
 @query(_sql(_R, "SELECT DISTINCT station_id, city, country, lat, lon FROM r"))
@@ -457,18 +474,19 @@ def row_key(spark, d):
     return _readings(spark, d).select("station_id", "ts_epoch", scalars.row_key(F.col("station_id"), F.col("ts_epoch")).alias("row_key"), scalars.iso_utc(F.col("ts_epoch")).alias("ts_utc"))
 
 
-_RESPONSE = "concat('{\"coord\":{\"lon\":1,\"lat\":2},\"list\":[{\"main\":{\"aqi\":', (event_id % 5 + 1), '},\"components\":{\"co\":', CASE WHEN event_id % 7 = 0 THEN '\"bad\"' ELSE '210.5' END, ',\"pm2_5\":', value, '},\"dt\":', CASE WHEN event_id % 11 = 0 THEN 'null' ELSE cast(1704067200 + event_id * 61 AS STRING) END, '}]}')"
+_RESPONSE = "concat('{\"coord\":{\"lon\":1,\"lat\":2},\"list\":[{\"main\":{\"aqi\":', (event_id % 5 + 1), '},\"components\":{\"co\":', CASE WHEN event_id % 7 = 0 THEN '\"bad\"' ELSE '210.5' END, ',\"no\":0.25,\"no2\":', event_id % 90, ',\"o3\":', event_id % 120, ',\"so2\":null,\"nh3\":1,\"pm10\":', event_id % 200, ',\"pm2_5\":', value, '},\"dt\":', CASE WHEN event_id % 11 = 0 THEN 'null' ELSE cast(1704067200 + event_id * 61 AS STRING) END, '}]}')"
 
 
 def _responses(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("ST_0"), (F.col("user_id") % 5).cast("string")).alias("station_id"), F.col("event_id").cast("string").alias("window"), F.expr(_RESPONSE).alias("body"))
-    return collect.normalised(collect.items(e), serving.stations(_readings(spark, d)))
+    return collect.normalised(collect.items(e), serving.stations(_readings(spark, d)), fetched_at=F.lit(1704067200))
 
 
 @query(_sql(_R, """, e AS (SELECT *, 'ST_0' || (user_id % 5) AS station_id FROM events WHERE user_id % 5 < 4 AND event_id % 7 <> 0 AND event_id % 11 <> 0), s AS (SELECT DISTINCT station_id, city, country, lat, lon FROM r)
-SELECT station_id, city, country, ((1704067200 + event_id * 61) // 3600) * 3600 AS ts_epoch, 1704067200 + event_id * 61 AS dt_raw, (event_id % 5 + 1)::INTEGER AS owm_aqi, value AS pm2_5, 210.5::DOUBLE AS co FROM e JOIN s USING (station_id)"""))
+SELECT station_id, city, country, ((1704067200 + event_id * 61) // 3600) * 3600 AS ts_epoch, 1704067200 + event_id * 61 AS dt_raw, (event_id % 5 + 1)::INTEGER AS owm_aqi, value AS pm2_5, 210.5::DOUBLE AS co, 0.25::DOUBLE AS no, (event_id % 90)::DOUBLE AS no2, (event_id % 120)::DOUBLE AS o3, NULL::DOUBLE AS so2, 1::DOUBLE AS nh3, (event_id % 200)::DOUBLE AS pm10,
+'1.0' AS schema_version, 'openweathermap' AS source, 'history' AS ingest_mode, '2024-01-01T00:00:00Z' AS fetched_at_utc, lat, lon, strftime(make_timestamp(((1704067200 + event_id * 61) // 3600) * 3600000000), '%Y-%m-%dT%H:%M:%SZ') AS ts_utc FROM e JOIN s USING (station_id)"""))
 def normalise_records(spark, d):
-    return _responses(spark, d)[0].select("station_id", "city", "country", "ts_epoch", "dt_raw", "owm_aqi", "components.pm2_5", "components.co")
+    return _responses(spark, d)[0].select("*", "components.*").drop("components")
 
 
 @query("""SELECT 'ST_0' || (user_id % 5) AS station_id, event_id::VARCHAR AS "window", CASE WHEN user_id % 5 = 4 THEN 'unknown station' WHEN event_id % 11 = 0 THEN 'no time' ELSE 'a component is no number' END AS error FROM events WHERE user_id % 5 = 4 OR event_id % 7 = 0 OR event_id % 11 = 0""")
@@ -528,18 +546,39 @@ def station_choice(spark, d):
     return select_stations.farthest_points(kept, 3, c.where("k < 2").select("country", "lat", "lon"))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share."""
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    return _readings(spark, d).select(F.lit("1.0").alias("schema_version"), "station_id", "city", "country", "lat", "lon", scalars.iso_utc(F.col("ts_epoch")).alias("ts_utc"), "ts_epoch", F.col("ts_epoch").alias("dt_raw"), F.lit("live").alias("ingest_mode"), "owm_aqi", F.struct(*POLLUTANTS).alias("components"))
+
+
+@query(_sql(_R, "SELECT station_id, city, country, lat, lon, ts_epoch, ts_epoch AS dt_raw, 'live' AS ingest_mode, owm_aqi, pm2_5, pm10, o3, no2, so2, co FROM r"))
+def raw_round_trip(spark, d):
+    """Readings written in two lots of stations, the first one again, and read back."""
+    folder = _folder(spark, "raw")
+    raw = _raw(spark, d)
+    first = raw.where("station_id < 'ST_02'")
+    for lot in (first, raw.where("station_id >= 'ST_02'"), first):
+        readings.write_raw(lot, folder)
+    return readings.flat(readings.read_raw(spark, folder))
+
+
 @query(_sql(_R, "SELECT station_id, ts_epoch, 1::BIGINT AS n, pm2_5 FROM r"))
 def stream_hourly(spark, d):
     """The readings written as raw lines, taken by the stream, summed by event hour."""
-    import tempfile
-
     from ..streaming import live
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    import uuid
-
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
-    raw = _readings(spark, d).select(F.lit("1.0").alias("schema_version"), "station_id", "city", "country", "lat", "lon", scalars.iso_utc(F.col("ts_epoch")).alias("ts_utc"), "ts_epoch", F.col("ts_epoch").alias("dt_raw"), F.lit("live").alias("ingest_mode"), "owm_aqi", F.struct(*POLLUTANTS).alias("components"))
+    folder = _folder(spark, "stream")
+    raw = _raw(spark, d)
     raw.select(F.to_json(F.struct("*"))).write.text(f"{folder}/in")
     good, _ = live.parsed(live.source(spark, f"{folder}/in"))
     name = f"t_{uuid.uuid4().hex}"

@@ -15,7 +15,7 @@ from ..functions import aqi, scalars
 from ..functions.standards import POLLUTANTS
 
 COMPONENTS = ("co", "no", "no2", "o3", "so2", "pm2_5", "pm10", "nh3")
-RAW_SCHEMA = "schema_version string, station_id string, city string, country string, lat double, lon double, ts_utc string, ts_epoch bigint, dt_raw bigint, ingest_mode string, owm_aqi int, components struct<" + ", ".join(f"{c}: double" for c in COMPONENTS) + ">"
+RAW_SCHEMA = "schema_version string, station_id string, city string, country string, lat double, lon double, ts_utc string, ts_epoch bigint, dt_raw bigint, source string, ingest_mode string, fetched_at_utc string, owm_aqi int, components struct<" + ", ".join(f"{c}: double" for c in COMPONENTS) + ">"
 STATION_SCHEMA = "station_id string, city string, country string, lat double, lon double"
 RESPONSE_SCHEMA = "coord struct<lon: double, lat: double>, list array<struct<main: struct<aqi: string>, components: map<string, string>, dt: string>>"
 
@@ -32,10 +32,19 @@ def read_raw(spark: SparkSession, path: str, corrupt: str | None = None) -> Data
     """JSON lines, gzip and partition folders included; `corrupt` names a column for lines
     that are no such record."""
     schema = RAW_SCHEMA + (f", {corrupt} string" if corrupt else "")
-    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true")
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE")
+    if not _has_partitions(spark, path):
+        reader = reader.option("recursiveFileLookup", "true")
     return (reader.option("columnNameOfCorruptRecord", corrupt) if corrupt else reader).json(path)
 
 
+def _has_partitions(spark: SparkSession, path: str) -> bool:
+    """Whether folders in `path` name partitions, whose values are no part of the lines."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(at) and any(s.isDirectory() and "=" in s.getPath().getName() for s in fs.listStatus(at))
+
+
 def read_layer(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -50,10 +59,19 @@ def write_layer(df: DataFrame, path: str, partitions: tuple[str, ...] = ("countr
 
 
 def write_raw(df: DataFrame, path: str) -> None:
-    """Raw JSON lines by ingest_mode, country, dt; partitions in `df` are replaced, so a
-    window that is fetched again leaves no second copy."""
+    """Raw JSON lines appended by ingest_mode, country, dt. Nothing that is there is taken
+    away: a station's reading of a time that is there already is left out, so a window that
+    is fetched again leaves no second copy, and other stations of its partition stay. Reads
+    only the days that `df` holds; one writer at a time."""
+    spark = df.sparkSession
     out = df.withColumn("dt", F.to_date(F.timestamp_seconds("ts_epoch")))
-    out.repartition("ingest_mode", "country", "dt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ingest_mode", "country", "dt").option("compression", "gzip").json(path)
+    if _has_partitions(spark, path):
+        key = ["ingest_mode", "country", "dt", "station_id", "dt_raw"]
+        days = out.agg(F.min("dt").alias("lo"), F.max("dt").alias("hi")).first()
+        old = read_raw(spark, path).withColumn("dt", F.col("dt").cast("date")).where(F.col("dt").between(days.lo, days.hi))
+        out = out.join(old.select(*key), key, "left_anti")
+    partitions = ("ingest_mode", "country", "dt")
+    out.repartition(*partitions).write.mode("append").partitionBy(*partitions).option("compression", "gzip").json(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

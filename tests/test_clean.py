@@ -102,3 +102,19 @@ def test_layers_through_files(spark, tmp_path):
     assert readings.read_layer(spark, f"{tmp_path}/daily").count() == first
     readings.write_single_csv(readings.read_layer(spark, f"{tmp_path}/daily").select("city", "dt"), f"{tmp_path}/one.csv")
     assert readings.read_csv(spark, f"{tmp_path}/one.csv", "city string, dt date").count() == first
+
+
+def test_raw_lines_are_appended_once(spark, tmp_path):
+    """A second station leaves the first one's lines of the same partition in place; a
+    window that is written again leaves no second copy."""
+    sample = readings.sample(spark, hours=48, seed=3)
+    ids = sorted(r.station_id for r in sample.select("station_id").distinct().collect())
+    path = f"{tmp_path}/raw"
+    for station in [*ids, ids[0]]:
+        readings.write_raw(sample.where(F.col("station_id") == station), path)
+    columns = ["station_id", "city", "country", "ingest_mode", "dt_raw", "owm_aqi"]
+    want = sorted(map(str, sample.select(*columns).distinct().collect()))
+    assert sorted(map(str, readings.read_raw(spark, path).select(*columns).distinct().collect())) == want
+    assert readings.read_raw(spark, path).count() == sample.count()
+    readings.write_raw(sample.limit(0), path)
+    assert readings.read_raw(spark, path).count() == sample.count()
