@@ -15,9 +15,8 @@ further, by a join on written tables, which the adaptive planner splits where on
 holds a large part of all units.
 
 Defined cases: null and blank texts and those of fewer than `COUNTED` words have no units and
-stay as they are; a null doc_id ranks
-before all others; rows equal in id and text are one document and all keep or lose the same
-units; rows of one id, null included, and different text do not rank at equal places; a
+stay as they are; a null doc_id ranks before all others; rows equal in id and text are one
+document and all keep or lose the same units; rows of one id, null included, and different text do not rank at equal places; a
 document of nothing but repeats keeps its row, with no text left; ids are integers; extra
 columns are not read, so their names can't clash.
 """
@@ -135,11 +134,6 @@ def removals(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return runs.groupBy(F.col("doc_id").alias("l_id"), F.col("row_hash").alias("l_hash")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
 
 
-#: Removals of more documents than this are joined by a shuffled hash table; the planner
-#: decides about smaller ones by their size. The result is the same.
-PLANNED_ROWS = 100_000
-
-
 def cut(text: Column, removed: Column) -> Column:
     """`text` without the spans (start, end), nor the space after each, nor the line feed
     after one that begins its line."""
@@ -160,9 +154,8 @@ def dedup(documents: DataFrame, min_words: int = MIN_WORDS, kind: str = "sentenc
     gone, _ = common.saved(removals(found, min_words), "removals")
     common.drop(documents.sparkSession, path)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("row_hash"), F.col(text).alias("text"))
-    if gone.count() > PLANNED_ROWS:
-        gone = gone.hint("shuffle_hash")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("row_hash") == F.col("l_hash")), "left")
+    # texts are never sorted and their removals never broadcast, at any size
+    joined = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("row_hash") == F.col("l_hash")), "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
     return joined.select("doc_id", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"), F.when(F.size("removed") > 0, cut(F.col("text"), F.col("removed"))).otherwise(F.col("text")).alias("text"))
 

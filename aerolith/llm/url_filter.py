@@ -1,14 +1,15 @@
 """URL rules whose decisions reach a page's aliases.
 
-A page is one with the targets of its canonical link and of its immediate refresh, and with
-pages whose urls differ only in scheme, fragment, tracking parameters or a last slash.
-Connected components over those edges are the classes of aliases. A url that a rule fits
+A page is one with the targets of its canonical link and of its immediate refresh. With
+`forms`, it is also one with pages whose urls differ only in scheme, tracking parameters or
+a last slash, which no link says: off by default. Connected components over those edges are the classes of aliases. A url that a rule fits
 has that rule's verdict. Any other takes its class's: allow if a url of the class is
 explicitly allowed, else block if one is blocked, else allow.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, fits no rule,
 has no aliases and is allowed; a null html has no links; a rule of no path fits every path;
-of rules equally long the first given wins; repeated rows give a row each.
+of rules equally long the first given wins; repeated rows give a row each; ids of any type
+come out as they are; only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -62,8 +63,13 @@ def judged(urls: DataFrame, rules=RULES) -> DataFrame:
     return urls.join(best, ["host", "path"], "left")
 
 
-def node_of(url: Column) -> Column:
-    """A url without scheme, fragment, tracking parameters and last slash; null if it has none."""
+def node_of(url: Column, forms: bool = False) -> Column:
+    """A url with scheme and host in lower case and no fragment; with `forms` also without
+    scheme, tracking parameters and last slash. Null for no url."""
+    if not forms:
+        begin = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0)
+        rest = F.regexp_replace(F.substring(url, F.length(begin) + 1, F.length(url)), r"(?s)#.*$", "")
+        return F.when(F.contains(url, F.lit("://")) & (host_of(url) != ""), F.concat(F.translate(begin, _UPPER, _LOWER), F.when(F.substring(rest, 1, 1) == "/", rest).otherwise(F.concat(F.lit("/"), rest))))
     rest = F.regexp_replace(F.regexp_replace(url, r"(?s)^.*?://", ""), r"(?s)#.*$", "")
     host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?]*)", 1), _UPPER, _LOWER)
     tail = F.regexp_extract(rest, r"(?s)^[^/?]*(.*)$", 1)
@@ -86,23 +92,23 @@ def _absolute(target: Column, url: Column) -> Column:
     return F.when(F.contains(target, F.lit("://")), target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).when(target.startswith("/"), F.concat(base, host, target)).otherwise(F.concat(base, host, F.when(folder == "", "/").otherwise(folder), target))
 
 
-def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def links(pages: DataFrame, url: str = "url", html: str = "html", forms: bool = False) -> DataFrame:
     """Edges (a, b) between normalised urls, with each end's url."""
     own = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).where(F.contains("url", F.lit("://")))
     own = own.withColumn("target", F.explode(_targets(F.col("html")))).select("url", _absolute(F.col("target"), F.col("url")).alias("target"))
-    return own.select("url", "target", node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b"))
+    return own.select("url", "target", node_of(F.col("url"), forms).alias("a"), node_of(F.col("target"), forms).alias("b"))
 
 
-def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, host, path, rule, verdict, component of every row; `redirects` (source,
+def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, page_id: str = "page_id", url: str = "url", html: str = "html", forms: bool = False) -> DataFrame:
+    """page_id, host, path, rule and verdict of every row; `redirects` (source,
     target urls) adds edges to those in the pages."""
     p = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    seen, _ = common.saved(links(p), "links")
+    seen, _ = common.saved(links(p, forms=forms), "links")
     if redirects is not None:
-        more = redirects.select(F.col("source").alias("url"), "target", node_of(F.col("source")).alias("a"), node_of(F.col("target")).alias("b"))
+        more = redirects.select(F.col("source").alias("url"), "target", node_of(F.col("source"), forms).alias("a"), node_of(F.col("target"), forms).alias("b"))
         seen = seen.unionByName(more)
     member = components(seen.select("a", "b"))
-    p = p.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
+    p = p.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url"), forms).alias("node"))
     p = judged(p, rules)
     # what rules say of every url that is known, as a page or as an end of an edge
     ends = seen.select(F.col("url"), F.col("a").alias("node")).unionByName(seen.select(F.col("target").alias("url"), F.col("b").alias("node")))

@@ -131,8 +131,7 @@ def test_passages_inside_longer_lines(spark):
             assert len(gone.split()) >= 20 and gone in passages[0 if r.doc_id == 200 else 1 if r.doc_id == 202 else r.doc_id % 6]
 
 
-def test_paragraphs_and_the_joined_path(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "PLANNED_ROWS", 0)
+def test_paragraphs_and_lines(spark):
     p = "one two three\nfour five six" + " and more" * 10
     df = spark.createDataFrame([(1, f"{p}\n\nown text"), (2, f"x\n\nOne two  three\nfour five six{' and more' * 10}\n\ny")], "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.dedup(df, kind="paragraph").collect()}

@@ -28,12 +28,16 @@ def test_decisions_reach_aliases_and_allow_goes_first(spark):
         (1, "http://a.com/x", link("http://b.com/y")), (2, "http://b.com/y/", refresh("http://bad.net/z")), (3, "https://a.com/x#top", None), (4, "http://a.com/x?utm_source=f", None),
         (5, "http://c.com/1", link("http://bad.net/2")), (6, "http://c.com/other", link("/1")), (7, "http://e.org/fr/ok", link("http://c.com/1")), (8, "http://far.com/", None), (8, "http://far.com/", None),
     ]
-    got = verdicts(spark, rows)
+    got = verdicts(spark, rows, forms=True)
     assert [got[i][3] for i in (1, 2, 3, 4)] == ["block"] * 4
     assert [got[i][3] for i in (5, 6, 7)] == ["allow"] * 3  # an allowed url is in the class
     assert got[8][3] == "allow"
     more = spark.createDataFrame([("http://far.com/", "http://a.com/x")], "source string, target string")
-    assert verdicts(spark, rows, redirects=more)[8][3] == "block"
+    assert verdicts(spark, rows, redirects=more, forms=True)[8][3] == "block"
+    # without forms only links, refreshes and redirects join urls, up to case of host and fragment
+    exact = [(1, "HTTP://A.com/x#top", link("http://b.com/y")), (2, "http://b.com/y", refresh("http://bad.net/z")), (3, "https://a.com/x", None), (4, "http://a.com/x?utm_source=f", None), (5, "http://b.com/y/", None), (6, "http://a.com/x", None)]
+    got = verdicts(spark, exact)
+    assert [got[i][3] for i in range(1, 7)] == ["block", "block", "allow", "allow", "allow", "block"]
 
 
 def test_long_rule_lists_agree(spark, monkeypatch):
