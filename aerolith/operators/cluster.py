@@ -100,6 +100,14 @@ def dbscan(points: DataFrame, key: str, features: Sequence[str], eps: float, min
     return points.join(out, key, "left")
 
 
+def distances(x: np.ndarray, square: bool = False) -> np.ndarray:
+    """All distances, a feature after another: one n x n table beside the result."""
+    out = np.zeros((len(x), len(x)))
+    for c in x.T:
+        out += (c[:, None] - c[None]) ** 2
+    return out if square else np.sqrt(out, out=out)
+
+
 def silhouette(points: np.ndarray, labels: np.ndarray) -> float | None:
     """Mean silhouette (Euclidean) without noise (-1); null with fewer than two clusters."""
     keep = labels >= 0
@@ -107,7 +115,7 @@ def silhouette(points: np.ndarray, labels: np.ndarray) -> float | None:
     names = np.unique(y)
     if len(names) < 2 or len(names) >= len(y):
         return None
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    d = distances(x)
     to = np.stack([d[:, y == c].sum(1) for c in names], 1)
     size = np.array([(y == c).sum() for c in names])
     own = np.searchsorted(names, y)
@@ -121,7 +129,7 @@ def silhouette(points: np.ndarray, labels: np.ndarray) -> float | None:
 
 
 def dbscan_labels(points: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
-    near = ((points[:, None] - points[None]) ** 2).sum(-1) <= eps * eps
+    near = distances(points, square=True) <= eps * eps
     core = near.sum(1) >= min_samples
     labels = np.full(len(points), -1)
     for i in np.flatnonzero(core):
@@ -143,7 +151,7 @@ def hdbscan_labels(points: np.ndarray, min_cluster_size: int) -> np.ndarray:
     n = len(points)
     if n < 2:
         return np.full(n, -1)
-    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    d = distances(points)
     core = np.sort(d, 1)[:, min(min_cluster_size, n) - 1]
     reach = np.maximum(np.maximum(core[:, None], core[None]), d)
     inside, best, link = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
@@ -185,57 +193,55 @@ def hdbscan_labels(points: np.ndarray, min_cluster_size: int) -> np.ndarray:
     lam = lambda h: 1 / max(h, 1e-12)
     clusters: dict[int, dict] = {}
 
-    def condense(node: int) -> int:
-        """The cluster that begins at `node`, its stability and its child clusters."""
+    # clusters of the condensed tree, each after its parent: its rows, mass and child clusters
+    todo = [(2 * n - 2, lam(height[2 * n - 2]), None)]
+    while todo:
+        x, born, parent_name = todo.pop()
         name = len(clusters)
-        clusters[name] = {"rows": points_of(node), "kids": [], "mass": 0.0}
-        born, x = (lam(height[node]) if node in birth_at_self else birth[node]), node
+        own = clusters[name] = {"rows": points_of(x), "kids": [], "mass": 0.0}
+        if parent_name is not None:
+            clusters[parent_name]["kids"].append(name)
         while x >= n:
-            a, b = kids[x]
-            big = [c for c in (a, b) if size[c] >= min_cluster_size]
+            big = [c for c in kids[x] if size[c] >= min_cluster_size]
             here = lam(height[x])
             if len(big) == 2:
-                clusters[name]["mass"] += (here - born) * size[x]
-                for c in big:
-                    birth[c] = here
-                    clusters[name]["kids"].append(condense(c))
-                return name
-            gone = sum(size[c] for c in (a, b) if c not in big)
-            clusters[name]["mass"] += (here - born) * gone
+                own["mass"] += (here - born) * size[x]
+                todo += [(c, here, name) for c in reversed(big)]
+                break
+            own["mass"] += (here - born) * sum(size[c] for c in kids[x] if c not in big)
             if not big:
-                return name
+                break
             x = big[0]
-        return name
 
-    whole = 2 * n - 2
-    birth, birth_at_self = {whole: lam(height[whole])}, set()
-    condense(whole)
     chosen: set[int] = set()
-
-    def settle(c: int) -> float:
-        below = sum(settle(k) for k in clusters[c]["kids"])
-        if c != 0 and clusters[c]["mass"] >= below:
+    worth: dict[int, float] = {}
+    for c in reversed(range(len(clusters))):  # children before their parents
+        worth[c] = sum(worth[k] for k in clusters[c]["kids"])
+        if c != 0 and clusters[c]["mass"] >= worth[c]:
             stack = list(clusters[c]["kids"])
             while stack:
                 k = stack.pop()
                 chosen.discard(k)
                 stack.extend(clusters[k]["kids"])
             chosen.add(c)
-            return clusters[c]["mass"]
-        return below
-
-    settle(0)
+            worth[c] = clusters[c]["mass"]
     labels = np.full(n, -1)
     for name, c in enumerate(sorted(chosen)):
         labels[clusters[c]["rows"]] = name
     return labels
 
 
-def sweep(df: DataFrame, key: str, features: Sequence[str], kind: str = "dbscan", eps=(0.5, 1.0, 1.5, 2.0, 2.5, 3.0), min_samples=(2, 3, 4), min_cluster_size=(2, 3, 4, 5)) -> DataFrame:
+def sweep(df: DataFrame, key: str, features: Sequence[str], kind: str = "dbscan", eps=(0.5, 1.0, 1.5, 2.0, 2.5, 3.0), min_samples=(2, 3, 4), min_cluster_size=(2, 3, 4, 5), most_rows: int = 8_000) -> DataFrame:
     """Every setting's clusters, noise and silhouette: a row per setting. Settings run in
-    parallel, each over the same standardised table (city months: thousands of rows)."""
+    parallel, each over the same standardised table (city months: thousands of rows), whose
+    distances a task holds at once: more than `most_rows` rows are refused, not cut. Use
+    `dbscan`, which is distributed, for larger ones."""
     spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(df.select(*features).na.drop().toPandas().to_numpy(float))
+    rows = df.select(*features).na.drop()
+    n = rows.count()
+    if n > most_rows:
+        raise ValueError(f"a sweep compares all pairs of rows in memory: {n} rows are more than {most_rows}")
+    sent = spark.sparkContext.broadcast(rows.toPandas().to_numpy(float))
     grid = [(e, m) for e in eps for m in min_samples] if kind == "dbscan" else [(float("nan"), m) for m in min_cluster_size]
 
     def run(pdfs):
@@ -251,3 +257,8 @@ def sweep(df: DataFrame, key: str, features: Sequence[str], kind: str = "dbscan"
 
     settings = spark.createDataFrame(grid, "eps double, size int").repartition(len(grid))
     return settings.mapInPandas(run, "eps double, size int, n_clusters int, n_noise int, silhouette double")
+
+
+def listed(clustered: DataFrame, *columns: str, cluster: str = "cluster") -> DataFrame:
+    """The listing of a clustering: by cluster (noise last), then by the given columns."""
+    return clustered.select(*columns, cluster).orderBy(F.asc_nulls_last(cluster), *columns)

@@ -9,7 +9,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import FEATURES, chunks, in_chunks
+from .features import FEATURES
 
 TARGET = "target_aqi_24h"
 
@@ -45,12 +45,18 @@ def importances(model: PipelineModel) -> DataFrame:
 
 
 class OnlineLinear:
-    """Linear model by stochastic gradient with an epsilon-insensitive loss, a chunk of time
-    after another; inputs are scaled by the first chunk. A chunk is averaged over executors:
-    each partition makes its passes from the common weights, and weights are averaged."""
+    """Linear model by stochastic gradient with an epsilon-insensitive loss. An epoch goes
+    through the chunks of time in their order, each shuffled by the same seed; inputs are
+    scaled by the first chunk; rates fall over all steps of all epochs.
 
-    def __init__(self, features=FEATURES, target: str = TARGET, epsilon: float = 5.0, epochs: int = 30, rate: float = 0.01, alpha: float = 1e-4):
+    Rows are dealt by a hash of what they hold to blocks of about `rows_per_block`, so the
+    result doesn't depend on partitions or files. Each block makes all epochs in one task,
+    and weights are averaged by the blocks' rows; a table of one block is the plain serial
+    method. One job and as many rows to the driver as there are blocks."""
+
+    def __init__(self, features=FEATURES, target: str = TARGET, epsilon: float = 5.0, epochs: int = 30, rate: float = 0.01, alpha: float = 1e-4, seed: int = 42, rows_per_block: int = 500_000):
         self.features, self.target, self.epsilon, self.epochs, self.rate, self.alpha = tuple(features), target, epsilon, epochs, rate, alpha
+        self.seed, self.rows_per_block = seed, rows_per_block
         self.weights: np.ndarray | None = None
 
     def _scaler(self, chunk: DataFrame) -> None:
@@ -60,41 +66,46 @@ class OnlineLinear:
         self.sd = np.array([s or 1.0 for s in row[k:]], float)
 
     def fit(self, train: DataFrame, column: str = "chunk_month") -> OnlineLinear:
-        for chosen in chunks(train, column):
-            chunk = in_chunks(train, [chosen], column)
-            if self.weights is None:
-                self._scaler(chunk)
-                self.weights = np.zeros(len(self.features) + 1)
-            self._step(chunk)
+        """Null features or targets are left out; without a row there is nothing to fit."""
+        rows = train.select(F.col(column).alias("__turn"), *self.features, self.target).na.drop()
+        found = rows.agg(F.min("__turn").alias("first"), F.count("*").alias("n")).first()
+        if not found.n:
+            raise ValueError("no row to fit")
+        self._scaler(rows.where(F.col("__turn") == F.lit(found.first)))
+        self.weights = np.zeros(len(self.features) + 1)
+        self.blocks = -(-found.n // self.rows_per_block)
+        self._step(rows)
         return self
 
-    def _step(self, chunk: DataFrame) -> None:
-        names, target, start = self.features, self.target, self.weights
+    def _step(self, rows: DataFrame) -> None:
+        names, target, start, seed = self.features, self.target, self.weights, self.seed
         mean, sd, eps, epochs, rate, alpha = self.mean, self.sd, self.epsilon, self.epochs, self.rate, self.alpha
 
-        def run(batches):
+        def run(pdf):
             import pandas as pd
 
-            parts = [b for b in batches if len(b)]
-            if not parts:
-                return
-            pdf = pd.concat(parts).sort_values([*names, target])
-            x = np.c_[(pdf[list(names)].to_numpy(float) - mean) / sd, np.ones(len(pdf))]
-            y, w = pdf[target].to_numpy(float), start.copy()
-            rng, t = np.random.default_rng(42), 0
+            pdf = pdf.sort_values(["__turn", *names, target])
+            x, y = (pdf[list(names)].to_numpy(float) - mean) / sd, pdf[target].to_numpy(float)
+            _, begins = np.unique(pdf["__turn"].to_numpy(), return_index=True)
+            orders = [lo + np.random.default_rng(seed).permutation(hi - lo) for lo, hi in zip(begins, [*begins[1:], len(y)], strict=True)]
+            order = np.concatenate(orders)
+            w, base, t = start[:-1].copy(), float(start[-1]), 0
             for _ in range(epochs):
-                for i in np.array_split(rng.permutation(len(y)), max(1, len(y) // 32)):
+                for i in order:
                     t += 1
                     step = rate / t**0.25
-                    miss = x[i] @ w - y[i]
-                    g = x[i].T @ (np.sign(miss) * (np.abs(miss) > eps)) / len(i)
-                    w -= step * 10 * g + step * alpha * np.append(w[:-1], 0)
-            yield pd.DataFrame({"n": [len(y)], "w": [w.tolist()]})
-
-        got = chunk.select(*names, target).mapInPandas(run, "n long, w array<double>").collect()  # a row per partition
-        total = sum(r.n for r in got)
-        if total:
-            self.weights = sum(np.array(r.w) * r.n for r in got) / total
+                    miss = x[i] @ w + base - y[i]
+                    w *= 1 - step * alpha
+                    if abs(miss) > eps:
+                        move = step if miss > 0 else -step
+                        w -= move * x[i]
+                        base -= move
+            return pd.DataFrame({"n": [len(y)], "w": [[*w, base]]})
+
+        block = F.pmod(F.xxhash64("__turn", *names, target), F.lit(self.blocks))
+        dealt = rows.withColumn("__block", block)
+        got = dealt.groupBy("__block").applyInPandas(run, "n long, w array<double>").collect()  # a row per block
+        self.weights = sum(np.array(r.w) * r.n for r in got) / sum(r.n for r in got)
 
     def save(self, spark, path: str) -> None:
         """Weights and scaler as a table of one row."""

@@ -49,6 +49,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _redo(spark: SparkSession, store: str, name: str) -> None:
+    """Puts the dates of a whole log into their table, however often, and drops the log."""
+    log = f"{store}/_redo/{name}"
+    if _exists(spark, f"{log}/_SUCCESS"):
+        readings.write_layer(spark.read.parquet(log), f"{store}/{name}", ("dt",))
+    _drop(spark, log)
+
+
+def _replace(df: DataFrame, store: str, name: str) -> None:
+    """The dates of `df`, which may be computed from the table itself, replace the table's.
+    They are written to a log first: a job lost on the way leaves either the old table or a
+    whole log, from which the next batch begins."""
+    df.write.mode("overwrite").parquet(f"{store}/_redo/{name}")
+    _redo(df.sparkSession, store, name)
+
+
 def upsert(store: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: readings into a keyed table and the indices they change.
 
@@ -56,15 +77,17 @@ def upsert(store: str) -> Callable[[DataFrame, int], None]:
     touches; a reading replaces an older one of its station and hour. Then the index is
     computed anew for the hours from the batch's first to eleven after its last, from the
     stored history and with the batch lane's Nowcast, into `store`/aqi. Repeating a batch
-    gives the same tables."""
+    gives the same tables, also after a job that was lost while it wrote. An empty batch
+    changes nothing. One writer at a time."""
 
     def run(batch: DataFrame, batch_id: int) -> None:  # noqa: ARG001
         spark = batch.sparkSession
+        for name in ("readings", "aqi"):
+            _redo(spark, store, name)
         day = F.to_date(F.timestamp_seconds("ts_epoch"))
-        batch = batch.withColumn("dt", day).drop("ts_utc").persist()
+        batch = batch.withColumn("dt", day).drop("ts_utc")
         ends = batch.agg(F.min("ts_epoch").alias("lo"), F.max("ts_epoch").alias("hi")).first()
         if ends.lo is None:
-            batch.unpersist()
             return
         table, hour = f"{store}/readings", 3600
         dates = [F.to_date(F.timestamp_seconds(F.lit(ends.lo))), F.to_date(F.timestamp_seconds(F.lit(ends.hi)))]
@@ -72,9 +95,7 @@ def upsert(store: str) -> Callable[[DataFrame, int], None]:
         if _exists(spark, table):
             kept = spark.read.schema(batch.schema).parquet(table).where(F.col("dt").between(*dates)).join(batch.select("station_id", "ts_epoch"), ["station_id", "ts_epoch"], "left_anti")
             merged = batch.unionByName(kept)
-        merged = clean.dedup(merged).persist()
-        merged.count()  # read before its own dates are replaced
-        readings.write_layer(merged, table, ("dt",))
+        _replace(clean.dedup(merged), store, "readings")
         look = spark.read.schema(batch.schema).parquet(table).where((F.col("ts_epoch") >= ends.lo - 2 * LOOK_BACK_HOURS * hour) & (F.col("ts_epoch") <= ends.hi + LOOK_BACK_HOURS * hour))
         fresh = index(look).where(F.col("ts_epoch").between(ends.lo, ends.hi + LOOK_BACK_HOURS * hour))
         old = f"{store}/aqi"
@@ -82,11 +103,7 @@ def upsert(store: str) -> Callable[[DataFrame, int], None]:
             days = F.to_date(F.timestamp_seconds(F.lit(ends.hi + LOOK_BACK_HOURS * hour)))
             past = spark.read.schema(fresh.schema).parquet(old).where(F.col("dt").between(dates[0], days) & ~F.col("ts_epoch").between(ends.lo, ends.hi + LOOK_BACK_HOURS * hour))
             fresh = fresh.unionByName(past)
-        fresh = fresh.persist()
-        fresh.count()
-        readings.write_layer(fresh, old, ("dt",))
-        for d in (batch, merged, fresh):
-            d.unpersist()
+        _replace(fresh, store, "aqi")
 
     return run
 
@@ -98,6 +115,24 @@ def index(df: DataFrame) -> DataFrame:
     return out.select("station_id", "city", "country", "lat", "lon", "ts_epoch", *names, *(f"iaqi_{p}" for p in names), "aqi", "aqi_level", "aqi_label", "dominant_pollutant", scalars.row_key(F.col("station_id"), F.col("ts_epoch")).alias("row_key"), F.to_date(F.timestamp_seconds("ts_epoch")).alias("dt"))
 
 
+def messages(df: DataFrame) -> DataFrame:
+    """Raw records as keyed messages: the station is the key, so its hours keep their order."""
+    return df.select(F.col("station_id").alias("key"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def to_kafka(df: DataFrame, servers: str, topic: str, checkpoint: str | None = None):
+    """Messages into a topic, where that connector is installed: a table at once, a stream as
+    a query that goes on from `checkpoint`. Dead letters go to a topic of their own."""
+    keyed = df if {"key", "value"} <= set(df.columns) else messages(df)
+    options = {"kafka.bootstrap.servers": servers, "topic": topic}
+    if not df.isStreaming:
+        keyed.write.format("kafka").options(**options).save()
+        return None
+    if checkpoint is None:
+        raise ValueError("a stream needs a folder for its offsets")
+    return keyed.writeStream.format("kafka").options(**options).option("checkpointLocation", checkpoint).start()
+
+
 def start(spark: SparkSession, path: str, store: str, every: str | None = None) -> list[StreamingQuery]:
     """The live job: indices into `store`, raw copies and dead letters beside them. `every`
     is a trigger interval; without it what is there is taken and the job ends."""

@@ -146,6 +146,44 @@ def test_forecasts(spark, tmp_path):
     assert forecast.measures(forecast.PipelineModel.load(f"{tmp_path}/forest").transform(held)).first().r2 == pytest.approx(m.r2)
 
 
+def test_online_model_is_the_serial_method_whatever_the_partitions(spark):
+    f = features.forecast_features(hourly(spark, 24 * 100)).cache()
+    names, target = list(forecast.FEATURES), forecast.TARGET
+    got = forecast.OnlineLinear(epochs=2).fit(f)
+    again = forecast.OnlineLinear(epochs=2).fit(f.repartition(7))
+    assert got.weights == pytest.approx(again.weights, rel=1e-9)  # the scale is a sum of parts
+    pdf = f.toPandas().sort_values(["chunk_month", *names, target])
+    months = [m for _, m in pdf.groupby("chunk_month")]
+    x0 = months[0][names].to_numpy(float)
+    sd = np.where(x0.std(0) > 0, x0.std(0), 1)
+    w, b, t = np.zeros(len(names)), 0.0, 0
+    for _ in range(2):
+        for m in months:
+            x, y = (m[names].to_numpy(float) - x0.mean(0)) / sd, m[target].to_numpy(float)
+            for i in np.random.default_rng(42).permutation(len(y)):
+                t += 1
+                e = 0.01 / t**0.25
+                miss = x[i] @ w + b - y[i]
+                g = np.sign(miss) if abs(miss) > 5 else 0.0
+                w, b = w * (1 - e * 1e-4) - e * g * x[i], b - e * g
+    assert got.weights == pytest.approx([*w, b])
+    assert np.isfinite(forecast.OnlineLinear(epochs=1, rows_per_block=500).fit(f).weights).all()
+    with pytest.raises(ValueError):
+        forecast.OnlineLinear().fit(f.limit(0))
+
+
+def test_density_of_long_chains_and_large_tables(spark):
+    chain = np.array([[2.0**i] for i in range(300)] + [[-(2.0**i)] for i in range(300)])
+    assert len(cluster.hdbscan_labels(chain, 2)) == 600
+    nested = np.array([[float(i * i), float(k)] for i in range(400) for k in (0.0, 0.1)])
+    assert cluster.hdbscan_labels(nested, 2).max() >= 1
+    df = spark.range(50).select(F.col("id").cast("double").alias("a"))
+    with pytest.raises(ValueError, match="50 rows"):
+        cluster.sweep(df, "a", ("a",), most_rows=49)
+    c = spark.createDataFrame([("b", 1), ("a", 1), ("z", None), ("c", 0)], "city string, cluster int")
+    assert [r.city for r in cluster.listed(c, "city").collect()] == ["c", "a", "b", "z"]
+
+
 def test_clusters(spark):
     rng = np.random.default_rng(0)
     rows = [(f"c{i}", *(float(x) for x in rng.normal(20 + 200 * (i % 2), 3, 4)), 10.0 + i % 3, 100.0, i % 12 + 1) for i in range(40)]

@@ -42,3 +42,25 @@ def test_upsert_is_idempotent(spark, tmp_path):
     put(flat.limit(0), 1)
     assert spark.read.parquet(f"{tmp_path}/s/readings").count() == flat.count()
     assert flat.agg(F.count("*")).first()[0] > 0
+
+
+def test_a_job_lost_while_it_wrote_is_repaired(spark, tmp_path):
+    rows = [r | {"ingest_mode": "live"} for r in readings.sample_records(seed=6, hours=30)]
+    flat = clean.clip(clean.dedup(readings.flat(spark.createDataFrame(rows, readings.T._parse_datatype_string(readings.RAW_SCHEMA)))))
+    store = f"{tmp_path}/s"
+    put = live.upsert(store)
+    put(flat, 0)
+    want = {t: sorted(map(str, spark.read.parquet(f"{store}/{t}").collect())) for t in ("readings", "aqi")}
+    dates = [r.dt for r in spark.read.parquet(f"{store}/readings").select("dt").distinct().collect()]
+    spark.read.parquet(f"{store}/readings").write.parquet(f"{store}/_redo/readings")  # the log was whole
+    live._drop(spark, f"{store}/readings/dt={dates[0]}")  # the table was not
+    spark.range(3).write.parquet(f"{store}/_redo/aqi")
+    live._drop(spark, f"{store}/_redo/aqi/_SUCCESS")  # this log was not, so its table was not touched
+    put(flat.limit(0), 1)
+    assert {t: sorted(map(str, spark.read.parquet(f"{store}/{t}").collect())) for t in want} == want
+    assert not live._exists(spark, f"{store}/_redo/readings") and not live._exists(spark, f"{store}/_redo/aqi")
+
+
+def test_messages_are_keyed_by_station(spark):
+    df = spark.createDataFrame([("a", 1, None)], "station_id string, ts_epoch long, pm2_5 double")
+    assert live.messages(df).first().asDict() == {"key": "a", "value": '{"station_id":"a","ts_epoch":1,"pm2_5":null}'}
