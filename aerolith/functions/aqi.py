@@ -176,7 +176,10 @@ def dense_hours(ts: Column | str, value: Column | str, hours: int, w: WindowSpec
 
 
 def register_functions(spark: SparkSession) -> None:
-    """SQL functions iaqi(c, pollutant), aqi_level(index) and provider_index(six values)."""
+    """SQL functions iaqi(c, pollutant), aqi_level(index), provider_index(six values),
+    nowcast(c1 to c12 as an array, the newest first) and aqi_udf(six values), the struct
+    (aqi, aqi_level, aqi_label, dominant_pollutant) of an hour; null in each field without
+    a value."""
 
     def sql_iaqi(p: str) -> str:
         steps = " ".join(f"WHEN c <= {hi!r}D THEN {(ihi - ilo) / (hi - lo)!r}D * (c - {lo!r}D) + {ilo!r}D" for lo, hi, ilo, ihi in S.bands(p))
@@ -189,3 +192,13 @@ def register_functions(spark: SparkSession) -> None:
     names = list(S.PROVIDER_THRESHOLDS)
     parts = ", ".join("CASE WHEN {p} IS NULL OR {p} < 0 THEN 1 {w} ELSE 5 END".format(p=p, w=" ".join(f"WHEN {p} < {t} THEN {i}" for i, t in enumerate(limits, 1))) for p, limits in S.PROVIDER_THRESHOLDS.items())
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION provider_index({', '.join(f'{p} DOUBLE' for p in names)}) RETURNS INT RETURN greatest(1, {parts})")
+    weight = "greatest(0.5D, coalesce(try_divide(array_min(v), array_max(v)), 0.5D))"
+    total = "aggregate(transform(v, (x, i) -> {x}), 0D, (a, b) -> a + b)"
+    num, den = (total.format(x=x) for x in (f"coalesce(x * power({weight}, i), 0D)", f"IF(x IS NULL, 0D, power({weight}, i))"))
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION nowcast(v ARRAY<DOUBLE>) RETURNS DOUBLE RETURN CASE WHEN size(filter(slice(v, 1, 3), x -> x IS NOT NULL)) >= 2 THEN try_divide({num}, {den}) END")
+    subs = {p: f"iaqi({p}, '{'o3_1h' if p == 'o3' else p}')" for p in S.POLLUTANTS}
+    top = f"greatest({', '.join(subs.values())})"
+    label_of = " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(S.VN_LABELS, 1))
+    dominant = " ".join(f"WHEN {subs[p]} = {top} THEN '{p}'" for p in S.DOMINANT_ORDER)
+    fields = f"'aqi', bround({top}, 0), 'aqi_level', aqi_level({top}), 'aqi_label', CASE aqi_level({top}) {label_of} END, 'dominant_pollutant', CASE {dominant} END"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION aqi_udf({', '.join(f'{p} DOUBLE' for p in S.POLLUTANTS)}) RETURNS STRUCT<aqi: DOUBLE, aqi_level: INT, aqi_label: STRING, dominant_pollutant: STRING> RETURN named_struct({fields})")

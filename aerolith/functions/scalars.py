@@ -54,11 +54,15 @@ def ascii_fold(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, _MARKED, _PLAIN), r"\p{Mn}", "")
 
 
+def station_code(city: Column, country: Column) -> Column:
+    """Country and three letters of the city, filled up with X."""
+    letters = F.upper(F.regexp_replace(ascii_fold(city), "[^A-Za-z]", ""))
+    return F.concat_ws("_", country, F.rpad(F.substring(letters, 1, 3), 3, "X"))
+
+
 def station_codes(cities: DataFrame, order: str = "city") -> DataFrame:
     """(city, country, ...) with station_id: country, three letters, running number."""
-    letters = F.upper(F.regexp_replace(ascii_fold(F.col("city")), "[^A-Za-z]", ""))
-    code = F.rpad(F.substring(letters, 1, 3), 3, "X")
-    out = cities.withColumn("__code", F.concat_ws("_", "country", code))
+    out = cities.withColumn("__code", station_code(F.col("city"), F.col("country")))
     turn = F.row_number().over(Window.partitionBy("__code").orderBy(order))
     return out.withColumn("station_id", F.concat_ws("_", "__code", F.lpad(turn.cast("string"), 2, "0"))).drop("__code")
 

@@ -60,9 +60,11 @@ def sequence_windows(df: DataFrame, length: int = 24, horizon: int = HORIZON) ->
     return out.select("station_id", "ts_epoch", "chunk_month", *(F.get("hours", F.lit(length - 1 - i)).alias(f"seq_{i}") for i in range(length)), f"target_aqi_{horizon}h").na.drop()
 
 
-def scaled_sequences(df: DataFrame, length: int = 24) -> DataFrame:
-    """Sequences and target scaled by one mean and population deviation of all their values."""
+def scaled_sequences(df: DataFrame, length: int = 24, fit_on: DataFrame | None = None) -> DataFrame:
+    """Sequences scaled by one mean and population deviation of all their values, or of those
+    of `fit_on` (the train rows, when `df` is the test); targets stay as they are. Null
+    without a deviation."""
     values = F.array(*(F.col(f"seq_{i}") for i in range(length)))
-    fit = df.select(F.explode(values).alias("v")).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
+    fit = (df if fit_on is None else fit_on).select(F.explode(values).alias("v")).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
     scale = lambda c: F.try_divide(F.col(c) - F.col("mean"), F.nullif(F.col("sd"), F.lit(0.0)))
     return df.crossJoin(F.broadcast(fit)).select("station_id", "ts_epoch", *(scale(f"seq_{i}").alias(f"seq_{i}") for i in range(length)), *(c for c in df.columns if c.startswith("target_")))

@@ -72,3 +72,42 @@ def match_names(cities: DataFrame, wanted: DataFrame, limit: int | None = None)
     rank = F.row_number().over(Window.partitionBy("turn").orderBy(F.col("folded") != F.col("target"), "name", "lat", "lon"))
     out = j.withColumn("n", rank).where("n = 1").select("turn", "city", "country", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon")).orderBy("turn")
     return out.limit(limit) if limit else out
+
+
+# How a name of no station begins; it is matched whatever its case.
+NO_STATION = ("Socialist Republic", "Xóm ", "Ấp ", "Thôn ", "Huyện ", "Huyen ", "Thị xã ", "Thi xa ")
+
+
+def by_region(cities: DataFrame, seeds: DataFrame, spread: dict[str, int], wanted: DataFrame, most_wanted: int, min_km: dict[str, float] | None = None, prefix: str = "Tỉnh ") -> DataFrame:
+    """Stations of a network: the seeds (station_id, city, country, lat, lon), then cities
+    spread over each country of `spread` until it has that many with its seeds, then wanted
+    (turn, city, country) ones elsewhere, at most `most_wanted` with the seeds elsewhere.
+
+    Countries with a `min_km` first lose names of no station and cities nearer to each other.
+    A wanted city that is a seed or that no city is named like is left out. Ids go on after
+    the seeds' running numbers. Returns (station_id, city, country, lat, lon)."""
+    min_km = min_km or {}
+    # the seeds are a list written by hand, as are wanted
+    given = {r.country: r.n for r in seeds.groupBy("country").agg(F.count("*").alias("n")).collect()}
+    picked = None
+    for order, (country, target) in enumerate(sorted(spread.items())):
+        own = cities.where((F.col("country") == country) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+        if country in min_km:
+            own = dedup_by_distance(own.where(~scalars.is_junk_name(F.col("name"), NO_STATION)), min_km[country], prefix)
+        left = max(0, target - given.get(country, 0))
+        far = farthest_points(own, left, seeds.where(F.col("country") == country).select("country", "lat", "lon"))
+        far = far.select(F.trim(F.replace("name", F.lit(prefix), F.lit(""))).alias("city"), "country", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), F.lit(order).alias("part"), "turn")
+        picked = far if picked is None else picked.unionByName(far)
+    elsewhere = sum(n for c, n in given.items() if c not in spread)
+    named = seeds.select(F.lower("city").alias("city"), "country")
+    new = wanted.withColumn("__low", F.lower("city")).join(F.broadcast(named.withColumnRenamed("city", "__low")), ["__low", "country"], "left_anti")
+    others = match_names(cities, new.select("turn", "city", "country"), max(1, most_wanted - elsewhere)).select("city", "country", "lat", "lon", F.lit(len(spread)).alias("part"), "turn")
+    if most_wanted <= elsewhere:
+        others = others.limit(0)
+    chosen = others if picked is None else picked.unionByName(others)
+    code = F.regexp_replace("station_id", "_[0-9]+$", "")
+    used = seeds.groupBy(code.alias("__code")).agg(F.max(F.regexp_extract("station_id", "([0-9]+)$", 1).cast("int")).alias("__used"))
+    coded = chosen.withColumn("__code", scalars.station_code(F.col("city"), F.col("country"))).join(F.broadcast(used), "__code", "left")
+    number = F.row_number().over(Window.partitionBy("__code").orderBy("part", "turn")) + F.coalesce("__used", F.lit(0))
+    out = coded.select(F.concat_ws("_", "__code", F.lpad(number.cast("string"), 2, "0")).alias("station_id"), "city", "country", "lat", "lon")
+    return seeds.select("station_id", "city", "country", "lat", "lon").unionByName(out)

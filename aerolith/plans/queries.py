@@ -494,6 +494,13 @@ def reject_records(spark, d):
     return _responses(spark, d)[1].select("station_id", "window", "error")
 
 
+_DENSE = f"""WITH RECURSIVE c AS ({_CITIES}), near AS (SELECT a.k AS a, b.k AS b FROM c a JOIN c b ON pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2) <= 144),
+core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 3), e AS (SELECT near.a, near.b FROM near JOIN core x ON x.a = near.a JOIN core y ON y.a = near.b),
+way AS (SELECT a, b FROM e UNION SELECT way.a, e.b FROM way JOIN e ON e.a = way.b), lab AS (SELECT a, min(b) AS cluster FROM way GROUP BY a),
+fin AS (SELECT c.k, coalesce(lab.cluster, (SELECT min(l.cluster) FROM near n JOIN lab l ON l.a = n.b WHERE n.a = c.k)) AS cluster FROM c LEFT JOIN lab ON lab.a = c.k)
+"""
+
+
 # --- models: properties are tested, values depend on partitions -----------------------------
 
 
@@ -511,7 +518,7 @@ def clustering_tournament(spark, d):
     return spark.createDataFrame([(a, r[2], float(r[3])) for a, r in found.items()], "algorithm string, k int, silhouette double")
 
 
-@query()
+@query(_DENSE + "SELECT c.k, c.lat, c.lon, fin.cluster FROM fin JOIN c USING (k)")
 def dbscan_cities(spark, d):
     return cluster.dbscan(_cities(spark, d).select("k", "lat", "lon"), "k", ("lat", "lon"), 12.0, 3)
 
@@ -585,3 +592,205 @@ def stream_hourly(spark, d):
     q = live.hourly(good).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+# --- written and read again ---------------------------------------------------------------
+
+
+@query(_sql(_R, "SELECT station_id, city, country, lat, lon, ts_epoch, owm_aqi, " + _P + ", make_timestamp(ts_epoch * 1000000)::DATE AS dt FROM r"))
+def layer_round_trip(spark, d):
+    """Written with wrong values first; the second write replaces the dates it holds, all."""
+    folder = _folder(spark, "layer")
+    r = _readings(spark, d).withColumn("dt", F.to_date(F.timestamp_seconds("ts_epoch")))
+    readings.write_layer(r.withColumn("pm2_5", F.lit(-1.0)), folder)
+    readings.write_layer(r, folder)
+    return readings.read_layer(spark, folder)
+
+
+@query(_sql(_R, "SELECT station_id, ts_epoch, owm_aqi, " + _P + " FROM r"))
+def csv_round_trip(spark, d):
+    folder = _folder(spark, "csv")
+    readings.write_csv(_readings(spark, d).select("station_id", "ts_epoch", "owm_aqi", *CAPS), folder)
+    return readings.read_csv(spark, folder, "station_id string, ts_epoch bigint, owm_aqi int, " + ", ".join(f"{p} double" for p in CAPS))
+
+
+@query(_sql(_D, "SELECT rank, city, country, dt, avg_aqi, max_aqi, worst_pollutant FROM rk"))
+def csv_one_file(spark, d):
+    file = _folder(spark, "ranking") + ".csv"
+    readings.write_single_csv(phases.city_days(_readings(spark, d)), file)
+    return readings.read_csv(spark, file, "rank int, city string, country string, dt date, avg_aqi double, max_aqi double, worst_pollutant string")
+
+
+@query("""SELECT 'ST_0' || (user_id % 5) AS station_id, event_id::VARCHAR AS "window", CASE WHEN user_id % 5 = 4 THEN 'unknown station' WHEN event_id % 11 = 0 THEN 'no time' ELSE 'a component is no number' END AS error, true AS has_item FROM events WHERE user_id % 5 = 4 OR event_id % 7 = 0 OR event_id % 11 = 0""")
+def reject_round_trip(spark, d):
+    folder = _folder(spark, "rejects")
+    readings.write_rejects(_responses(spark, d)[1], folder)
+    found = spark.read.schema("station_id string, window string, error string, raw_item string").json(folder)
+    return found.select("station_id", "window", "error", F.col("raw_item").contains('"components"').alias("has_item"))
+
+
+@query("""WITH s AS (SELECT 'S' || n_nationkey AS station_id FROM nation), w AS (SELECT u.d::DATE AS window_start, least(u.d::DATE + 90, DATE '2022-01-01') AS window_end FROM unnest(range(TIMESTAMP '2021-01-01', TIMESTAMP '2022-01-01', INTERVAL 90 DAY)) AS u(d))
+SELECT * FROM s, w WHERE NOT (window_start < DATE '2021-06-01' OR station_id < 'S2')""")
+def ledger_resume(spark, d):
+    """A ledger of two records, some of the same work, and what it leaves to do."""
+    folder = _folder(spark, "ledger")
+    stations = spark.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("S"), F.col("n_nationkey").cast("string")).alias("station_id"))
+    work = collect.work_list(stations, scalars.windows(spark, "2021-01-01", "2022-01-01").drop("label"))
+    first = collect.remaining(work, collect.load_ledger(spark, folder)).where("window_start < '2021-06-01'")
+    collect.record(first, folder)
+    collect.record(work.where("station_id < 'S2'"), folder)
+    return collect.remaining(work, collect.load_ledger(spark, folder))
+
+
+def _json_array(rows: DataFrame, wrap: str) -> DataFrame:
+    """One line with all rows as a JSON array: for tables as small as nation."""
+    return rows.agg(F.format_string(wrap, F.to_json(F.sort_array(F.collect_list(F.struct("*"))))).alias("value"))
+
+
+@query(f"""WITH c AS ({_CITIES}) SELECT 'S' || lpad(k::VARCHAR, 2, '0') AS station_id, name AS city, country, lat, lon FROM c ORDER BY station_id LIMIT 7""")
+def station_file(spark, d):
+    folder = _folder(spark, "stations")
+    rows = _cities(spark, d).select(F.concat(F.lit("S"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("station_id"), F.col("name").alias("city"), "country", "lat", "lon")
+    _json_array(rows, '{"stations": %s}').write.text(folder)
+    return readings.load_stations(spark, folder, 7)
+
+
+@query(f"WITH c AS ({_CITIES}) SELECT k::BIGINT AS id, name, country, lat, lon FROM c")
+def city_list_file(spark, d):
+    folder = _folder(spark, "cities")
+    rows = _cities(spark, d).select(F.col("k").alias("id"), "name", F.lit("").alias("state"), "country", F.struct("lon", "lat").alias("coord"))
+    _json_array(rows, "%s").write.option("compression", "gzip").text(folder)
+    return readings.load_cities(spark, folder)
+
+
+@query("SELECT 'ST_' || lpad((i % 200)::VARCHAR, 3, '0') AS station_id, 1700000000 + (i // 200) * 3600 AS ts_epoch, true AS in_range FROM range(100000) AS t(i)")
+def synthetic_frame(spark, d):
+    tops = {"pm2_5": 150, "pm10": 200, "o3": 150, "no2": 150, "so2": 100, "co": 3000}
+    inside = F.lit(True)
+    for p, top in tops.items():
+        inside = inside & F.col(p).between(0, top) & (F.round(p, 2) == F.col(p))
+    return readings.synthetic(spark, 100_000).select("station_id", "ts_epoch", inside.alias("in_range"))
+
+
+@query(_sql(_R, " UNION ALL ".join(f"SELECT '{name}' AS summary, " + ", ".join(f"round(({f.format(c=c)})::DOUBLE, 6) AS {c}" for c in ("pm2_5", "co")) + " FROM r" for name, f in {"count": "count({c})", "mean": "avg({c})", "stddev": "stddev_samp({c})", "min": "min({c})", "max": "max({c})"}.items())))
+def summary_stats(spark, d):
+    rows = aggregate.summary(_readings(spark, d), "pm2_5", "co").where(~F.col("summary").endswith("%"))
+    return _rounded(rows.select("summary", *(F.col(c).cast("double") for c in ("pm2_5", "co"))), "pm2_5", "co")
+
+
+@query("SELECT n_nationkey AS k, lower(n_name) LIKE 'uni%' OR lower(n_name) LIKE 'i%' OR lower(n_name) LIKE 'saudi a%' AS junk FROM nation")
+def junk_names(spark, d):
+    return spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("k"), scalars.is_junk_name(F.col("n_name"), ("Uni", "i", "Saudi A")).alias("junk"))
+
+
+@query(ORACLES["sequence_windows"].replace("SELECT * FROM w WHERE", ", q AS (SELECT * FROM w WHERE", 1) + "), u AS (SELECT avg(v) AS mean, stddev_pop(v) AS sd FROM (SELECT unnest([" + ", ".join(f"seq_{k}" for k in range(24)) + "]) AS v FROM q)) SELECT station_id, ts_epoch, " + ", ".join(f"round((seq_{k} - mean) / sd, 6) AS seq_{k}" for k in range(24)) + ", target_aqi_24h FROM q, u")
+def sequence_scaling(spark, d):
+    out = features.scaled_sequences(features.sequence_windows(_facts(spark, d)))
+    return _rounded(out, *(f"seq_{k}" for k in range(24)))
+
+
+# --- measures, functions, choices ---------------------------------------------------------
+
+
+@query(_sql(_FEAT, """SELECT round(sqrt(avg(pow(target_aqi_24h - aqi_lag_1h, 2))), 6) AS rmse, round(avg(abs(target_aqi_24h - aqi_lag_1h)), 6) AS mae, round(1 - sum(pow(target_aqi_24h - aqi_lag_1h, 2)) / (var_pop(target_aqi_24h) * count(*)), 6) AS r2, count(*) AS n_test FROM ff"""))
+def persistence_measures(spark, d):
+    """The last hour as the forecast, measured over all rows."""
+    found = _features(spark, d).withColumn("prediction", F.col("aqi_lag_1h"))
+    return _rounded(forecast.measures(found), "rmse", "mae", "r2")
+
+
+_HOUR_STRUCT = f""", s AS (SELECT station_id, ts_epoch, {", ".join(f"{_sub(p, 'o3_1h' if p == 'o3' else p)} AS iaqi_{p}" for p in CAPS)} FROM c), t AS (SELECT *, greatest({", ".join(f"iaqi_{p}" for p in CAPS)}) AS mx FROM s)
+SELECT station_id, ts_epoch, round_even(mx, 0) AS aqi, {_LEVEL.format(a="mx")} AS aqi_level, {_LABELS}[{_LEVEL.format(a="mx")}] AS aqi_label, {_DOMINANT} AS dominant_pollutant FROM t"""
+
+
+@query(_sql(_C, _HOUR_STRUCT))
+def sql_hour_struct(spark, d):
+    aqi.register_functions(spark)
+    r = clean.clip(_readings(spark, d))
+    return r.select("station_id", "ts_epoch", F.expr(f"aqi_udf({_P})").alias("r")).select("station_id", "ts_epoch", "r.*")
+
+
+@query(_sql(_N, "SELECT station_id, ts_epoch, round(nowcast_pm2_5, 6) AS nowcast_pm2_5 FROM x"))
+def sql_nowcast(spark, d):
+    aqi.register_functions(spark)
+    w = Window.partitionBy("station_id").orderBy("ts_epoch")
+    r = clean.interpolate(_grid(spark, d)).withColumn("v", aqi.dense_hours("ts_epoch", "pm2_5", 12, w))
+    return r.select("station_id", "ts_epoch", F.expr("round(nowcast(v), 6)").alias("nowcast_pm2_5"))
+
+
+def _km_sql(a: str, b: str) -> str:
+    return f"2 * 6371 * asin(sqrt(least(1.0, pow(sin((radians({b}.lat) - radians({a}.lat)) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin((radians({b}.lon) - radians({a}.lon)) / 2), 2))))"
+
+
+@query(f"""WITH RECURSIVE c AS ({_CITIES}), o AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY name, lat, lon) AS i FROM c),
+g AS (SELECT country, 0::BIGINT AS i, []::STRUCT(name VARCHAR, lat DOUBLE, lon DOUBLE)[] AS kept FROM c GROUP BY country
+ UNION ALL SELECT g.country, o.i, CASE WHEN len(list_filter(kept, lambda x: {_km_sql("o", "x")} < 2500)) = 0 THEN list_append(kept, {{'name': o.name, 'lat': o.lat, 'lon': o.lon}}) ELSE kept END FROM g JOIN o ON o.country = g.country AND o.i = g.i + 1),
+l AS (SELECT country, arg_max(kept, i) AS kept FROM g GROUP BY country), u AS (SELECT country, unnest(kept) AS x FROM l) SELECT x.name AS name, country, x.lat AS lat, x.lon AS lon FROM u""")
+def stations_apart(spark, d):
+    return select_stations.dedup_by_distance(_cities(spark, d), 2500.0)
+
+
+def _spread_sql(n: int) -> str:
+    """Rounds written out: each takes, in every country, the city farthest from what it has."""
+    rounds = []
+    for k in range(1, n + 1):
+        near = f"(SELECT min({_km_sql('c', 'p')}) FROM p{k - 1} p WHERE p.country = c.country)"
+        rounds.append(f"p{k} AS (SELECT country, name, lat, lon, turn FROM p{k - 1} UNION ALL (SELECT country, name, lat, lon, {k} AS turn FROM (SELECT c.*, coalesce({near}, 'inf'::DOUBLE) AS far FROM free c WHERE NOT EXISTS (SELECT 1 FROM p{k - 1} p WHERE p.country = c.country AND p.name = c.name)) QUALIFY row_number() OVER (PARTITION BY country ORDER BY far DESC, name) = 1))")
+    seeds = "p0 AS (SELECT country, ''::VARCHAR AS name, lat, lon, 0 AS turn FROM c WHERE k < 2)"
+    free = f"free AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM p0 p WHERE p.country = c.country AND {_km_sql('c', 'p')} < 5))"
+    return f"WITH c AS ({_CITIES}), {seeds}, {free}, {', '.join(rounds)} SELECT name, country, lat, lon, turn::INTEGER AS turn FROM p{n} WHERE turn > 0"
+
+
+@query(_spread_sql(3))
+def stations_spread(spark, d):
+    c = _cities(spark, d)
+    return select_stations.farthest_points(c, 3, c.where("k < 2").select("country", "lat", "lon"))
+
+
+@query(_DENSE + "SELECT c.name, c.lat, c.lon, fin.cluster FROM fin JOIN c USING (k)")
+def cluster_listing(spark, d):
+    found = cluster.dbscan(_cities(spark, d).select("k", "name", "lat", "lon"), "k", ("lat", "lon"), 12.0, 3)
+    return cluster.listed(found, "name", "lat", "lon")
+
+
+# --- the live lane ------------------------------------------------------------------------
+
+_LIVE = _F.replace("FROM i JOIN i j", "FROM c i JOIN c j").replace("nowcast_pm2_5, nowcast_pm10 FROM i", "nowcast_pm2_5, nowcast_pm10 FROM c i").replace("x AS (SELECT i.*", "x AS (SELECT i.*")
+
+
+@query(_sql(_LIVE, "SELECT station_id, ts_epoch, aqi, aqi_level, aqi_label, dominant_pollutant, station_id || '#' || (9999999999 - ts_epoch) AS row_key FROM f"))
+def live_upsert(spark, d):
+    """Three batches, of which the last is a late correction of the first: the later half,
+    the earlier half with wrong values, the earlier half; the last one twice."""
+    from ..streaming import live
+
+    store = _folder(spark, "live")
+    put = live.upsert(store)
+    r = clean.clip(_readings(spark, d).withColumns({"ingest_mode": F.lit("live"), "dt_raw": F.col("ts_epoch")}))
+    noon = F.pmod(F.floor(F.col("ts_epoch") / 86400), F.lit(2)) == 0
+    for i, batch in enumerate((r.where(~noon), r.where(noon).withColumns({"pm2_5": F.lit(1.0), "dt_raw": F.col("dt_raw") - 1}), r.where(noon), r.where(noon))):
+        put(batch, min(i, 2))
+    return spark.read.parquet(f"{store}/aqi").select("station_id", "ts_epoch", "aqi", "aqi_level", "aqi_label", "dominant_pollutant", "row_key")
+
+
+@query("SELECT CASE event_id % 3 WHEN 0 THEN '{\"city\":\"x\"}' ELSE 'line ' || event_id END AS value, 'no record' AS error FROM events")
+def live_dead_letters(spark, d):
+    """A line that is no record for every event, between the readings' lines."""
+    from ..streaming import live
+
+    folder = _folder(spark, "dead")
+    bad = spark.read.parquet(f"{d}/events.parquet").select(F.when(F.col("event_id") % 3 == 0, '{"city":"x"}').otherwise(F.concat(F.lit("line "), F.col("event_id").cast("string"))).alias("value"))
+    _raw(spark, d).select(F.to_json(F.struct("*")).alias("value")).unionByName(bad).write.text(f"{folder}/in")
+    for q in live.start(spark, f"{folder}/in", f"{folder}/store"):
+        q.awaitTermination()
+    return spark.read.schema("value string, error string").json(f"{folder}/store/dead")
+
+
+@query(_sql(_R, "SELECT station_id AS key, station_id, ts_epoch, pm2_5, so2 FROM r"))
+def live_messages(spark, d):
+    """Readings as keyed messages, read by the live lane's own schema."""
+    from ..streaming import live
+
+    sent = live.messages(_raw(spark, d))
+    flat = sent.select("key", F.from_json("value", live.VALUE_SCHEMA).alias("r"))
+    return flat.select("key", "r.station_id", "r.ts_epoch", "r.components.pm2_5", "r.components.so2")

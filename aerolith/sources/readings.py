@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 import time
+import urllib.error
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import aqi, scalars
-from ..functions.standards import POLLUTANTS
+from ..functions.standards import POLLUTANTS, PROVIDER_THRESHOLDS
 
 COMPONENTS = ("co", "no", "no2", "o3", "so2", "pm2_5", "pm10", "nh3")
 RAW_SCHEMA = "schema_version string, station_id string, city string, country string, lat double, lon double, ts_utc string, ts_epoch bigint, dt_raw bigint, source string, ingest_mode string, fetched_at_utc string, owm_aqi int, components struct<" + ", ".join(f"{c}: double" for c in COMPONENTS) + ">"
@@ -125,35 +129,67 @@ def synthetic(spark: SparkSession, rows: int, stations: int = 200, seed: int = 4
     )
 
 
+# Fixed values of the sample's calibration: particles by local hour (mean 1), ozone likewise.
+PM_BY_HOUR = (1.2179, 1.1909, 1.1729, 1.1971, 1.2236, 1.2345, 1.2045, 1.1358, 0.9359, 0.9029, 0.9145, 0.6738, 0.6441, 0.6879, 0.7391, 0.7773, 0.7712, 0.7953, 0.8937, 0.9829, 1.0845, 1.1727, 1.2206, 1.2263)
+O3_BY_HOUR = (0.7601, 0.7545, 0.7524, 0.7435, 0.7422, 0.7465, 0.7501, 0.7783, 0.8878, 0.9824, 1.1257, 1.3244, 1.3802, 1.4168, 1.4283, 1.4011, 1.3529, 1.2568, 1.1059, 0.9834, 0.9012, 0.8418, 0.8050, 0.7787)
+# Gases: median and deviation of the logarithm, least value.
+GASES = {"no2": (3.68, 0.862, 0.5), "so2": (0.94, 0.635, 0.3), "co": (223.0, 0.741, 80.0)}
+# Stations: id, city, country, lat, lon, hours east of UTC, pollution against the first.
+SAMPLE_STATIONS = (
+    ("VN_HCM_01", "Ho Chi Minh City", "VN", 10.8231, 106.6297, 7, 1.0),
+    ("VN_HAN_01", "Hanoi", "VN", 21.0278, 105.8342, 7, 2.6),
+    ("VN_BDU_01", "Thu Dau Mot", "VN", 10.9804, 106.6519, 7, 0.9),
+    ("IN_DEL_01", "New Delhi", "IN", 28.6139, 77.2090, 5, 7.0),
+    ("JP_TYO_01", "Tokyo", "JP", 35.6762, 139.6503, 9, 1.2),
+)
+
+
+def provider_index_of(values: dict[str, float | None]) -> int:
+    """The provider's 1 to 5 of one record: thresholds not above the worst pollutant, plus one."""
+    known = [sum(v >= t for t in limits) + 1 for p, limits in PROVIDER_THRESHOLDS.items() if (v := values.get(p)) is not None and v >= 0]
+    return max(known, default=1)
+
+
 def sample_records(seed: int = 7, hours: int = 2160, start: int = 1_781_481_600) -> Iterator[dict]:
-    """Raw records of five stations with the faults that cleaning must meet: whole-day gaps,
-    doubled hours at a month's begin, nulls and negative values."""
+    """Raw records of five stations, log-normal with hour-to-hour memory and a daily course,
+    and with the faults that cleaning must meet: whole-day gaps from 01:00 on, doubled hours
+    at a month's begin, nulls and negative values."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
-    stations = [("VN_HAN_01", "Ha Noi", "VN", 21.03, 105.85, 1.0), ("IN_DEL_01", "Delhi", "IN", 28.61, 77.21, 2.6), ("VN_HCM_01", "Ho Chi Minh", "VN", 10.78, 106.7, 0.9), ("IN_PAT_01", "Patna", "IN", 25.59, 85.14, 7.0), ("JP_TOK_01", "Tokyo", "JP", 35.68, 139.69, 1.2)]
-    for sid, city, country, lat, lon, factor in stations:
-        state = mean = 1.838 + np.log(factor)
-        until = -1
+    mu, sd, memory = 1.838, 0.806, 0.964  # fixed values: log of PM2.5 and its autocorrelation
+    for sid, city, country, lat, lon, east, factor in SAMPLE_STATIONS:
+        times = start + 3600 * np.arange(hours)
+        utc, local = times // 3600 % 24, (times // 3600 + east) % 24
+        noise = rng.normal(0, sd * np.sqrt(1 - memory**2), hours)
+        level = np.empty(hours)
+        state = mean = mu + np.log(factor)
         for h in range(hours):
-            ts = start + 3600 * h
-            state = mean + 0.964 * (state - mean) + rng.normal(0, 0.806 * np.sqrt(1 - 0.964**2))
-            hour = (ts // 3600) % 24
-            if hour == 1 and h > until and rng.random() < 0.055:
-                until = h + int(rng.choice([24, 48])) - 1
-            if h <= until:
-                continue
-            pm = float(np.exp(state) * (1 + 0.2 * np.cos((hour - 7) / 24 * 2 * np.pi)))
-            values = {"co": 220 + 6 * pm, "no": 0.1, "no2": 5 + 0.3 * pm, "o3": 60 + 40 * np.sin((hour - 8) / 24 * 2 * np.pi), "so2": 2 + 0.1 * pm, "pm2_5": pm, "pm10": 1.41 * pm, "nh3": 1.0}
-            values = {k: round(float(v), 2) for k, v in values.items()}
-            for k in ("pm10", "so2", "o3"):
-                if rng.random() < 0.002:
-                    values[k] = None
+            state = level[h] = mean + memory * (state - mean) + noise[h]
+        pm_course, o3_course = np.take(PM_BY_HOUR, local), np.take(O3_BY_HOUR, local)
+        share = {"no2": factor, "so2": factor, "co": 0.6 + 0.4 * factor}
+        values = {g: np.exp(rng.normal(np.log(median * share[g]), spread, hours)) * (pm_course if g == "co" else 1) for g, (median, spread, _) in GASES.items()}
+        values = {g: np.maximum(GASES[g][2], v) for g, v in values.items()}
+        values["pm2_5"] = np.exp(level) * pm_course
+        values["pm10"] = values["pm2_5"] * rng.normal(1.41, 0.1, hours)
+        values["o3"] = np.maximum(0, rng.normal(32.12, 7, hours) * o3_course)
+        values["no"] = np.where(rng.random(hours) > 0.24, np.abs(rng.normal(0.2, 0.3, hours)), 0)
+        values["nh3"] = np.abs(rng.normal(2.0, 0.7, hours))
+        gone = np.zeros(hours, bool)
+        for h in np.flatnonzero((utc == 1) & (rng.random(hours) < 0.055)):
+            if not gone[h]:
+                gone[h : h + 24 * int(rng.choice((1, 1, 1, 2)))] = True
+        for h in np.flatnonzero(~gone):
+            found: dict[str, float | None] = {c: round(float(values[c][h]), 2) for c in COMPONENTS}
+            if rng.random() < 0.002:
+                found[str(rng.choice(("pm10", "so2", "o3")))] = None
             if rng.random() < 0.0005:
-                values["no2"] = -values["no2"]
-            row = {"schema_version": "1.0", "station_id": sid, "city": city, "country": country, "lat": lat, "lon": lon, "ts_utc": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(ts)), "ts_epoch": ts, "dt_raw": ts, "ingest_mode": "history", "owm_aqi": 1, "components": values}
+                found["no2"] = round(-abs(float(rng.normal(3, 2))), 2)
+            ts = int(times[h])
+            at = time.gmtime(ts)
+            row = {"schema_version": "1.0", "station_id": sid, "city": city, "country": country, "lat": lat, "lon": lon, "ts_utc": time.strftime("%Y-%m-%dT%H:%M:%SZ", at), "ts_epoch": ts, "dt_raw": ts, "source": "synthetic", "ingest_mode": "history", "fetched_at_utc": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(start + 3600 * hours)), "owm_aqi": provider_index_of(found), "components": found}
             yield row
-            if time.gmtime(ts).tm_mday == 1 and hour == 0:
+            if at.tm_mday == 1 and at.tm_hour == 0:
                 yield row | {"ingest_mode": "live", "dt_raw": ts + 420}
 
 
@@ -180,10 +216,44 @@ def fetch(transport: Callable[[dict], tuple[int, dict]], request: dict, tries: i
     raise RuntimeError(f"status {status} after {tries} tries")
 
 
+def current_request(station_id: str, lat: float, lon: float) -> dict:
+    """What the provider knows now: a request without times."""
+    return {"station_id": station_id, "lat": lat, "lon": lon}
+
+
+def history_requests(work: DataFrame) -> list[dict]:
+    """A request for each station and window (station_id, lat, lon, window_start, window_end)
+    of the work left, in seconds: hundreds of stations times dozens of windows."""
+    seconds = {f"{n}": F.unix_timestamp(F.col(f"window_{n}").cast("timestamp")).alias(n) for n in ("start", "end")}
+    rows = work.select("station_id", "lat", "lon", seconds["start"], seconds["end"]).orderBy("station_id", "start").collect()
+    return [current_request(r.station_id, r.lat, r.lon) | {"start": r.start, "end": r.end} for r in rows]
+
+
+class HttpTransport:
+    """GET calls to `base`, or to `base`/history for a request with times. The key is read
+    from the environment where the call is made, so that no plan or log holds it."""
+
+    def __init__(self, base: str, key_variable: str, timeout: float = 30):
+        self.base, self.key_variable, self.timeout = base.rstrip("/"), key_variable, timeout
+
+    def url(self, request: dict) -> str:
+        params = {k: request[k] for k in ("lat", "lon", "start", "end") if k in request}
+        params["appid"] = os.environ[self.key_variable]
+        return f"{self.base}{'/history' if 'start' in request else ''}?{urllib.parse.urlencode(params)}"
+
+    def __call__(self, request: dict) -> tuple[int, dict]:
+        try:
+            with urllib.request.urlopen(self.url(request), timeout=self.timeout) as answer:  # noqa: S310  the base is the caller's
+                return answer.status, json.load(answer)
+        except urllib.error.HTTPError as e:
+            return e.code, {}
+
+
 class ProviderSource(DataSource):
     """`spark.read.format("air_provider")`: a call per station and window. Options: requests
     (JSON list of {station_id, lat, lon, start, end}), calls_per_second. The transport is a
-    picklable function put in `ProviderSource.transport`; there is none by default."""
+    picklable function, like an `HttpTransport`, put in `ProviderSource.transport`; there is
+    none by default."""
 
     transport: Callable[[dict], tuple[int, dict]] | None = None
 

@@ -126,6 +126,9 @@ def test_split_and_scaling(spark):
     seq = features.sequence_windows(hourly(spark, 100))
     scaled = np.array(features.scaled_sequences(seq).select(*(f"seq_{i}" for i in range(24))).collect())
     assert abs(scaled.mean()) < 1e-9 and scaled.std() == pytest.approx(1)
+    test = features.scaled_sequences(seq.limit(1), fit_on=seq).first()
+    assert test.seq_0 == pytest.approx((seq.limit(1).first().seq_0 - np.mean(seq.select(*(f"seq_{i}" for i in range(24))).collect())) / np.std(seq.select(*(f"seq_{i}" for i in range(24))).collect()))
+    assert features.scaled_sequences(seq.limit(0)).count() == 0
 
 
 def test_forecasts(spark, tmp_path):
@@ -224,6 +227,42 @@ def test_station_choice(spark):
     assert {(r.a, r.b) for r in collect.far_pairs(cities.where("country = 'VN'"), "name", 8.0, most=True).collect()} == {("A", "Tỉnh A")}
 
 
+def test_stations_by_region(spark):
+    shape = "name string, country string, lat double, lon double"
+    rows = [("Tỉnh A", "VN", 10.0, 100.0), ("B", "VN", 12.0, 100.0), ("Huyện C", "VN", 15.0, 100.0), ("D", "VN", 20.0, 100.0), ("Delhj", "IN", 20.0, 80.0), ("Nowhere", "IN", None, 80.0), ("Seoul", "KR", 37.0, 127.0), ("Greater London", "GB", 51.0, 0.0), ("Bejing", "CN", 39.0, 116.0)]
+    cities = spark.createDataFrame(rows, shape)
+    seeds = spark.createDataFrame([("VN_HAN_01", "Hanoi", "VN", 21.0, 105.0), ("CN_BEJ_01", "Bejing", "CN", 39.0, 116.0), ("IN_DEL_03", "Delhi", "IN", 28.0, 77.0)], readings.STATION_SCHEMA)
+    wanted = spark.createDataFrame([(1, "bejing", "CN"), (2, "London", "GB"), (3, "Paris", "FR"), (4, "Seoul", "KR")], "turn int, city string, country string")
+    got = {r.station_id: r.city for r in select_stations.by_region(cities, seeds, {"VN": 3, "IN": 5}, wanted, 3, {"VN": 8.0}).collect()}
+    assert got == {"VN_HAN_01": "Hanoi", "CN_BEJ_01": "Bejing", "IN_DEL_03": "Delhi", "VN_AXX_01": "A", "VN_DXX_01": "D", "IN_DEL_04": "Delhj", "GB_LON_01": "London", "KR_SEO_01": "Seoul"}
+    assert select_stations.by_region(cities.limit(0), seeds, {"VN": 3}, wanted, 1).count() == 3
+
+
+def test_requests_and_urls(spark, monkeypatch):
+    work = spark.sql("SELECT 'A' AS station_id, 1.5D AS lat, 2.0D AS lon, DATE '2021-01-01' AS window_start, DATE '2021-04-01' AS window_end")
+    (request,) = readings.history_requests(work)
+    assert request == {"station_id": "A", "lat": 1.5, "lon": 2.0, "start": 1609459200, "end": 1617235200}
+    monkeypatch.setenv("SOME_KEY", "k&1")
+    call = readings.HttpTransport("http://host/air/", "SOME_KEY")
+    assert call.url(request) == "http://host/air/history?lat=1.5&lon=2.0&start=1609459200&end=1617235200&appid=k%261"
+    assert call.url(readings.current_request("A", 1.5, 2.0)) == "http://host/air?lat=1.5&lon=2.0&appid=k%261"
+
+
+def test_sample_is_like_its_calibration():
+    rows = list(readings.sample_records())
+    own = [r for r in rows if r["station_id"] == "VN_HCM_01"]
+    pm = np.array([r["components"]["pm2_5"] for r in own])
+    assert 0.4 < np.log(pm).std() < 1.2 and 3 < np.median(pm) < 12
+    no2 = [r["components"]["no2"] for r in own if r["components"]["no2"] > 0]
+    assert np.median(no2) == pytest.approx(3.68, rel=0.1)
+    assert {r["owm_aqi"] for r in rows} == {1, 2, 3, 4, 5}
+    assert any(r["components"]["no2"] < 0 for r in rows) and any(None in r["components"].values() for r in rows)
+    hours = {r["ts_epoch"] for r in own}
+    missing = [t for t in range(min(hours), max(hours), 3600) if t not in hours]
+    assert missing and len(missing) % 24 == 0
+    assert len(rows) > len({(r["station_id"], r["ts_epoch"]) for r in rows})
+
+
 def test_rollup_and_seasonality(spark):
     df = hourly(spark, 48).withColumns({"city": F.lit("a"), "country": F.lit("VN"), "dt": F.to_date(F.timestamp_seconds("ts_epoch"))})
     assert aggregate.rollup(df).count() == 5
