@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from . import common, store, tokens
 
 BLOCK_BYTES = 64 << 10
+SHARD_FILE_BYTES = 256 << 20
+READ_ROWS = 16_384
 RESTART = 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"AEROSST1"
@@ -193,10 +195,14 @@ class Reader:
         return found
 
 
-def write(documents: DataFrame, tokenizer: str, end_id: int, folder: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write(documents: DataFrame, tokenizer: str, end_id: int, folder: str, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_FILE_BYTES) -> DataFrame:
     """Encode and write all documents; the manifest: a row per shard, in key order by
-    first_key. Defined cases: a null text is empty and holds the end id alone; a null id
-    comes first; rows of one id follow each other in text order."""
+    first_key. A task begins a new shard after about `shard_bytes`, at the next key, so rows
+    of one key share a shard and what a writer holds doesn't grow with the partition.
+
+    Defined cases: a null text is empty and holds the end id alone; a null id comes first;
+    rows of one id follow each other in text order; an empty table has no shards. Ids are
+    integers; other columns are not read."""
     spark = documents.sparkSession
     common.text_batches(spark)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -205,16 +211,25 @@ def write(documents: DataFrame, tokenizer: str, end_id: int, folder: str, doc_id
     def run(batches):
         enc, out, writer = tokens.encoder(tokenizer), None, None
         end = np.array([end_id], "<u4").tobytes()
+        width = 2 if max(enc.vocab_size, end_id + 1) <= 1 << 16 else 4
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            out.close()
+            return pa.RecordBatch.from_pydict({"path": [path], "first_key": pa.array([first], pa.binary()), "n_docs": [len(writer.keys)], "n_ids": [writer.n_ids]})
+
         for b in common.rows_of(batches, tokens.SHARD_BYTES):
             for k, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
+                key = key_of(k)
+                if writer is not None and writer.at >= shard_bytes and key != writer.keys[-1]:
+                    yield closed()
+                    writer = None
                 if writer is None:
                     path, out = store.create(folder, ".sst")
-                    writer, first = Writer(out, 2 if max(enc.vocab_size, end_id + 1) <= 1 << 16 else 4), key_of(k)
-                writer.add(key_of(k), ids + end)
+                    writer, first = Writer(out, width), key
+                writer.add(key, ids + end)
         if writer is not None:
-            writer.close()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"path": [path], "first_key": pa.array([first], pa.binary()), "n_docs": [len(writer.keys)], "n_ids": [writer.n_ids]})
+            yield closed()
 
     return common.saved(ranged.mapInArrow(common.lean(run), MANIFEST), "sst-manifest")[0]
 
@@ -225,6 +240,9 @@ def read(manifest: DataFrame) -> DataFrame:
     base = F.coalesce(F.sum("n_ids").over(Window.orderBy("first_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = manifest.select("path", base.alias("base")).repartition(max(1, shards))
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
     def run(batches):
         for b in batches:
             for path, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -234,6 +252,10 @@ def read(manifest: DataFrame) -> DataFrame:
                         n = len(ids) // 4
                         rows.append((id_of(key), at, n, zlib.crc32(ids)))
                         at += n
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        if len(rows) == READ_ROWS:
+                            yield batch_of(rows)
+                            rows = []
+                if rows:
+                    yield batch_of(rows)
 
     return placed.mapInArrow(common.lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -56,3 +56,22 @@ def test_table_equals_brute_force(spark):
             found += sstable.Reader(f).get(sstable.key_of(3))
     assert len(found) == 2
     assert sstable.read(sstable.write(df.limit(0), path, 0, folder)).count() == 0
+
+
+def test_shards_are_cut_by_bytes_between_keys(spark, monkeypatch):
+    rng = random.Random(4)
+    docs = [(i // 3, " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))) for i in range(300)] + [(50, "very long " * 40_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    path = vocabularies.path("byte_bpe_50k.json")
+    whole, cut = (sstable.write(df, path, 0, common.new_path(spark, "sst"), shard_bytes=n) for n in (1 << 30, 2000))
+    assert cut.count() > 2 * whole.count()
+    want = sorted(map(tuple, sstable.read(whole).collect()))
+    monkeypatch.setattr(sstable, "READ_ROWS", 7)
+    assert sorted(map(tuple, sstable.read(cut).collect())) == want and len(want) == 301
+    ranges = []
+    for r in cut.collect():
+        with store.opened(r.path) as f:
+            keys = [k for k, _ in sstable.Reader(f).scan()]
+        ranges.append((bytes(r.first_key), keys[-1]))
+    ranges.sort()
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))  # no key in two shards
