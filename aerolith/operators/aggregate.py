@@ -43,9 +43,11 @@ def ranking(day: DataFrame) -> DataFrame:
 
 
 def top_of_latest(ranked: DataFrame, n: int = 5) -> DataFrame:
-    """The first `n` of the latest date; the date is a scalar subquery of the plan."""
-    latest = ranked.agg(F.max("dt").alias("latest"))
-    return ranked.join(F.broadcast(latest), F.col("dt") == F.col("latest")).drop("latest").orderBy("rank").limit(n)
+    """The first `n` of the latest date, in one pass: the latest date's rows come first, so of
+    the first `n` those of another date are none of its."""
+    first = ranked.where("dt IS NOT NULL").orderBy(F.desc("dt"), "rank").limit(n)
+    latest = F.max("dt").over(Window.partitionBy(F.lit(0)))  # over n rows
+    return first.withColumn("__latest", latest).where("dt = __latest").drop("__latest").orderBy("rank")
 
 
 def rank_in_country(ranked: DataFrame) -> DataFrame:

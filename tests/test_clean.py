@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from aerolith.operators import clean
+from aerolith.operators import aggregate, clean
 from aerolith.plans import phases
 from aerolith.sources import readings
 
@@ -118,3 +118,21 @@ def test_raw_lines_are_appended_once(spark, tmp_path):
     assert readings.read_raw(spark, path).count() == sample.count()
     readings.write_raw(sample.limit(0), path)
     assert readings.read_raw(spark, path).count() == sample.count()
+
+
+def test_interpolation_reaches_no_farther_than_a_neighbour_may_be(spark):
+    hours = [(0, 1.0), (3, 4.0), (7, 9.0), (8, None), (8, 5.0), (9, None)]
+    rows = [("a", 3600 * h, v) for h, v in hours] + [("a", 3600 * h, None) for h in (1, 2, 4, 5, 6)]
+    got = clean.interpolate(spark.createDataFrame(rows, "station_id string, ts_epoch long, pm2_5 double")).collect()
+    found = sorted((r.ts_epoch // 3600, r.pm2_5, r.pm2_5_qc) for r in got if r.pm2_5 is not None)
+    assert found == [(0, 1.0, "measured"), (1, 2.0, "interpolated"), (2, 3.0, "interpolated"), (3, 4.0, "measured"), (7, 9.0, "measured"), (8, 5.0, "interpolated"), (8, 5.0, "measured")]
+    assert sorted(r.ts_epoch // 3600 for r in got if r.pm2_5_qc == "missing") == [4, 5, 6, 9]
+
+
+def test_top_of_latest_date(spark):
+    shape = "rank int, city string, country string, dt date, avg_aqi double, max_aqi double, worst_pollutant string"
+    rows = [(k, f"c{k}", "x", f"2024-01-0{d}", 1.0, 1.0, None) for d, n in ((1, 9), (2, 3)) for k in range(1, n + 1)] + [(1, "z", "x", None, 9.0, 9.0, None)]
+    df = spark.createDataFrame(rows, shape.replace("dt date", "dt string")).withColumn("dt", F.to_date("dt"))
+    assert [(r.rank, r.city) for r in aggregate.top_of_latest(df, 5).collect()] == [(1, "c1"), (2, "c2"), (3, "c3")]
+    assert [r.rank for r in aggregate.top_of_latest(df, 2).collect()] == [1, 2]
+    assert aggregate.top_of_latest(df.limit(0)).count() == 0
